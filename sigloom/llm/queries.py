@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import sharding
+from sigloom.llm import sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_components": simhash.op3_simhash_components,
         "op4_hilbert_shards": sharding.op4_hilbert_shards,
     }
 
