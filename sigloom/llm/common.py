@@ -150,25 +150,58 @@ class Words:
         return pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(self.data[self.inside]))])
 
 
-_POWERS = np.ones(1, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one prefix sum over the bytes: equal
-    bytes give equal hashes wherever they stand."""
-    step = 1 << 16
-    salted = mixed(np.arange(256, dtype=np.uint64))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(salted[data] * _powers(len(data), _BASE), out=sums[1:])
-    back = _powers(len(data) + 1, _INVERSE)
-    del step
-    return mixed((sums[end] - sums[start]) * back[start] ^ (end - start).astype(np.uint64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(packed: np.ndarray, at: np.ndarray, salt: int = 0, step: int = 1 << 15) -> np.ndarray:
+    """A 64-bit hash of each word of ``packed`` (see Words.pack), the same wherever the
+    word stands."""
+    n = len(at) - 1
+    out = np.empty(n, dtype=np.uint64)
+    if not n:
+        return out
+    values = mixed(np.arange(256, dtype=np.uint64) + np.uint64(salt * 256))
+    powers = np.full(int(np.diff(at).max()), _BASE, dtype=np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    for lo in range(0, n, step):
+        edge = at[lo : lo + step + 1] - at[lo]
+        place = np.arange(edge[-1]) - np.repeat(edge[:-1], np.diff(edge))
+        out[lo : lo + step] = np.add.reduceat(values[packed[at[lo] : at[lo] + edge[-1]]] * powers[place], edge[:-1])
+    return mixed(out)
+
+
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each ``k`` consecutive entries of ``h`` (len(h) - k + 1 of them)."""
+    n, out, power, done = len(h) - k + 1, None, h, 0
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    width = 1
+    while True:
+        if k & width:
+            part = power[done : done + n]
+            out = part if out is None else mixed(out * np.uint64(3) + part)
+            done += width
+        width *= 2
+        if width > k:
+            return out
+        power = mixed(power[: len(power) - width // 2] * np.uint64(5) + power[width // 2 :])
+
+
+def run_minima(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of each ``k`` consecutive entries."""
+    n, width = len(x) - k + 1, 1
+    if n <= 0:
+        return x[:0]
+    while 2 * width <= k:
+        x = np.minimum(x[: len(x) - width], x[width:])
+        width *= 2
+    return np.minimum(x[:n], x[k - width : k - width + n])
+
+
+def squeeze(raw: bytes | np.ndarray, level: int = 3) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
+
+
+def unsqueeze(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, decompressed_size=size, asbytes=True), dtype=np.uint8) if size else np.zeros(0, np.uint8)
