@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import language, sharding, simhash, substrings, vectors
+from sigloom.llm import language, pii, sharding, simhash, substrings, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_personal_data": pii.op1_personal_data,
         "op2_repeated_windows": substrings.op2_repeated_windows,
         "op3_simhash_components": simhash.op3_simhash_components,
         "op4_hilbert_shards": sharding.op4_hilbert_shards,
