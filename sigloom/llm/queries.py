@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import language, pii, sharding, simhash, substrings, vectors
+from sigloom.llm import language, pii, scoring, sharding, simhash, substrings, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_hilbert_shards": sharding.op4_hilbert_shards,
         "op7_nearest_vectors": vectors.op7_nearest_vectors,
         "op8_word_crf": language.op8_word_crf,
+        "op10_maxent_scores": scoring.op10_maxent_scores,
     }
 
 
