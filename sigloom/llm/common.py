@@ -18,12 +18,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once.
 BLOCK_BYTES = 4 << 20
-#: Words are runs of other bytes than these: space and 0x09 to 0x0D.
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 _M1, _M2, _GOLD = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -91,6 +85,11 @@ def byte_offsets(col: pa.Array) -> np.ndarray:
     return np.frombuffer(col.buffers()[1], dtype=kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, other bytes as they are."""
+    return data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def flat(col: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in one array, and where each text begins (one more entry
     at the end). Null texts are empty."""
@@ -99,36 +98,28 @@ def flat(col: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     at = byte_offsets(col)
     buffer = col.buffers()[2]
     data = np.frombuffer(buffer, dtype=np.uint8)[at[0] : at[-1]] if buffer is not None and buffer.size else np.zeros(0, np.uint8)
-    return (_LOWER[data] if lower else data), at - at[0]
+    return (lowered(data) if lower else data), at - at[0]
 
 
 class Words:
-    """The words of a block of texts.
+    """The words of a block of texts: runs of other bytes than space and 0x09 to 0x0D.
 
     start, end: byte range of each word in ``data``; first: index of each text's
-    first word, with one more entry at the end. ``packed`` holds the words with one
-    space after each; word i is ``packed[at[i] : at[i + 1] - 1]``.
+    first word, with one more entry at the end. ``packed`` (see ``pack``) holds the
+    words with one space after each; word i is ``packed[at[i] : at[i + 1] - 1]``.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
-        gap = _SEPARATOR[data]
-        before = np.empty(len(data) + 1, dtype=bool)
-        before[0] = before[-1] = True
-        before[1:] = gap
-        edge = offsets[:-1][offsets[:-1] < len(data)]
-        opens = before[:-1].copy()
-        opens[edge] = True
-        closes = np.empty(len(data), dtype=bool)
-        if len(data):
-            closes[:-1] = gap[1:]
-            closes[-1] = True
-            closes[edge[edge > 0] - 1] = True
-        inside = ~gap
-        self.start = np.flatnonzero(inside & opens)
-        self.end = np.flatnonzero(inside & closes) + 1
+        self.inside = inside = ~((data == 0x20) | (data - np.uint8(9) < 5))
+        before, after = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        edge = offsets[1:-1]
+        before[edge[edge < len(data)]] = False
+        after[edge[edge > 0] - 1] = False
+        self.start = np.flatnonzero(inside > before)
+        self.end = np.flatnonzero(inside > after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.inside = inside
 
     def __len__(self) -> int:
         return len(self.start)
@@ -150,25 +141,24 @@ class Words:
         return pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(self.data[self.inside]))])
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def word_hashes(packed: np.ndarray, at: np.ndarray, salt: int = 0, step: int = 1 << 15) -> np.ndarray:
+def word_hashes(packed: np.ndarray, at: np.ndarray, salt: int = 0, after: int = 1) -> np.ndarray:
     """A 64-bit hash of each word of ``packed`` (see Words.pack), the same wherever the
-    word stands."""
-    n = len(at) - 1
-    out = np.empty(n, dtype=np.uint64)
-    if not n:
-        return out
-    values = mixed(np.arange(256, dtype=np.uint64) + np.uint64(salt * 256))
-    powers = np.full(int(np.diff(at).max()), _BASE, dtype=np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    for lo in range(0, n, step):
-        edge = at[lo : lo + step + 1] - at[lo]
-        place = np.arange(edge[-1]) - np.repeat(edge[:-1], np.diff(edge))
-        out[lo : lo + step] = np.add.reduceat(values[packed[at[lo] : at[lo] + edge[-1]]] * powers[place], edge[:-1])
-    return mixed(out)
+    word stands. ``after``: how many bytes between words."""
+    start, left = at[:-1], np.diff(at) - after
+    padded = np.concatenate((packed, np.zeros(8, dtype=np.uint8)))
+    lanes = np.ndarray(len(packed) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    out = mixed(lanes[start] & _LANE[np.minimum(left, 8)] ^ mixed(left.astype(np.uint64) + np.uint64(salt << 32)))
+    more = np.flatnonzero(left > 8)
+    k = 8
+    while len(more):
+        rest = left[more] - k
+        out[more] = mixed(out[more] * np.uint64(3) + (lanes[start[more] + k] & _LANE[np.minimum(rest, 8)]))
+        k += 8
+        more = more[rest > 8]
+    return out
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
