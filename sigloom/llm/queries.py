@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import decontaminate, language, pii, scoring, sharding, simhash, substrings, vectors
+from sigloom.llm import decontaminate, language, lines, pii, scoring, sharding, simhash, substrings, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_cgk_matches": decontaminate.op6_cgk_matches,
         "op7_nearest_vectors": vectors.op7_nearest_vectors,
         "op8_word_crf": language.op8_word_crf,
+        "op9_near_lines": lines.op9_near_lines,
         "op10_maxent_scores": scoring.op10_maxent_scores,
     }
 
