@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import sharding
+from sigloom.llm import decontaminate, language, mixing, sharding, simhash
 from sigloom.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language.stage),
+    ("near_duplicates", simhash.stage),
+    ("decontamination", decontaminate.stage),
+    ("mixing", mixing.stage),
     ("sharding", sharding.stage),
 ]
 

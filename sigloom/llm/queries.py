@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import decontaminate, language, lines, pii, scoring, sharding, simhash, substrings, vectors
+from sigloom.llm import decontaminate, language, lines, mixing, pii, scoring, sharding, simhash, substrings, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeated_windows": substrings.op2_repeated_windows,
         "op3_simhash_components": simhash.op3_simhash_components,
         "op4_hilbert_shards": sharding.op4_hilbert_shards,
+        "op5_soft_mixing": mixing.op5_soft_mixing,
         "op6_cgk_matches": decontaminate.op6_cgk_matches,
         "op7_nearest_vectors": vectors.op7_nearest_vectors,
         "op8_word_crf": language.op8_word_crf,
