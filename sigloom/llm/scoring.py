@@ -43,7 +43,8 @@ PRIOR, SHARE, DAMP, RATE = 300, 0.6, 50, 0.9
 MAP_BYTES = 8 << 20
 BUCKETS_A_PARTITION = 8
 SLICES = 48
-STEP = 1 << 13
+#: Tokens whose chances are made, and are added up, at once.
+STEP, SPAN = 1 << 12, 1 << 16
 
 
 def classes_of(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -77,14 +78,21 @@ class Tokens:
         self.classes[~ends] = classes_of(packed, at)
 
 
-def chances(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray], lo: int, hi: int) -> np.ndarray:
-    z = bias + weights[0][features[0][lo:hi]]
+def factors_of(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Exponentials of the weights, so that a context's unnormalised chances are products
+    of rows; the bias goes with the first table. Weights are kept within 20 of zero,
+    which single precision can multiply."""
+    out = np.clip(weights, -20, 20)
+    out[0] += np.clip(bias, -20, 0)
+    return np.exp(out).astype(np.float32)
+
+
+def products(factors: np.ndarray, features: list[np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised chances of the classes for tokens lo:hi, and their sums."""
+    z = np.take(factors[0], features[0][lo:hi], axis=0)
     for t in range(1, TABLES):
-        z += weights[t][features[t][lo:hi]]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+        z *= np.take(factors[t], features[t][lo:hi], axis=0)
+    return z, z @ np.ones(CLASSES, dtype=np.float32)
 
 
 def _sent(sums: np.ndarray) -> pa.RecordBatch:
@@ -104,19 +112,26 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = held.value
+        factors = held.value
         sums = np.zeros((TABLES, 1 << TABLE_BITS, CLASSES), dtype=np.float64)
+        ones = np.ones(SPAN, dtype=np.float32)
+        chances = np.empty((SPAN, CLASSES), dtype=np.float32)
         for b in blocks(batches):
             t = Tokens(b.column(0))
-            for lo in range(0, len(t.classes), STEP):
-                hi = min(lo + STEP, len(t.classes))
-                p = chances(weights, bias, t.features, lo, hi)
+            for lo in range(0, len(t.classes), SPAN):
+                hi = min(lo + SPAN, len(t.classes))
+                for x in range(lo, hi, STEP):
+                    y = min(x + STEP, hi)
+                    z, total = products(factors, t.features, x, y)
+                    np.divide(z, total[:, None], out=chances[x - lo : y - lo])
                 for k in range(TABLES):
                     f = t.features[k][lo:hi]
                     order = np.argsort(f, kind="stable")
-                    f = f[order]
-                    head = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-                    sums[k][f[head]] += np.add.reduceat(p[order], head, axis=0)
+                    f, rows, into = f[order], np.take(chances, order, axis=0), sums[k]
+                    edges = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1], [True])))
+                    # A product with ones adds up an entry's rows faster than reduceat does.
+                    for p, q, entry in zip(edges[:-1].tolist(), edges[1:].tolist(), f[edges[:-1]].tolist(), strict=True):
+                        into[entry] += ones[: q - p] @ rows[p:q]
         yield _sent(sums)
 
     return run
@@ -142,20 +157,20 @@ def summed(texts: DataFrame, task) -> np.ndarray:
     return out.reshape(TABLES, 1 << TABLE_BITS, CLASSES)
 
 
-def trained(texts: DataFrame, updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (table, entry, class) and bias of the class model, from rows (text)."""
+def trained(texts: DataFrame, updates: int = UPDATES) -> np.ndarray:
+    """The class model (see factors_of: table, entry, class), from rows (text)."""
     observed = summed(texts, _observe)
     prior = observed[0].sum(axis=0) + 0.5
     prior /= prior.sum()
-    bias = np.log(prior).astype(np.float32)
+    bias = np.log(prior)
     rows = observed.sum(axis=2, keepdims=True)
     weights = np.log((observed + PRIOR * prior) / ((rows + PRIOR) * prior)) * SHARE
     for _ in range(updates):
-        held = texts.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+        held = texts.sparkSession.sparkContext.broadcast(factors_of(weights, bias))
         expected = summed(texts, _expect(held))
         weights += RATE * (observed - expected) / ((observed + expected) / 2 + DAMP)
         held.unpersist()
-    return weights.astype(np.float32), bias
+    return factors_of(weights, bias)
 
 
 # -- exact counts of words ----------------------------------------------------------
@@ -284,14 +299,14 @@ def _score(held, spread: np.ndarray):
     """Of each text: the sum of log10 P(class | context) / (tokens of the class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = held.value
+        factors = held.value
         for b in blocks(batches):
             t = Tokens(b.column(2))
             each = np.empty(len(t.classes))
             for lo in range(0, len(each), STEP):
                 hi = min(lo + STEP, len(each))
-                p = chances(weights, bias, t.features, lo, hi)
-                each[lo:hi] = np.log10(np.maximum(p[np.arange(hi - lo), t.classes[lo:hi]], 1e-30))
+                z, total = products(factors, t.features, lo, hi)
+                each[lo:hi] = np.log10(z[np.arange(hi - lo), t.classes[lo:hi]].astype(np.float64) / total)
             each -= spread[t.classes]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.add.reduceat(each, t.first[:-1]))], names=["id", "key", "context"])
 
@@ -320,8 +335,7 @@ def scored(docs: DataFrame, train) -> DataFrame:
     tokens, distinct = total.sum(axis=1)
     spread = np.log10(total[0] + 0.5 * (total[1] + 1))
     met = counted.where("kind < 2").repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_meet, "id long, key int, n_words long, known long, logs double")
-    weights, bias = trained(keyed.where("train").select("text"))
-    held = spark.sparkContext.broadcast((weights, bias))
+    held = spark.sparkContext.broadcast(trained(keyed.where("train").select("text")))
     context = keyed.select("id", "key", "text").mapInArrow(_score(held, spread), "id long, key int, context double").dropDuplicates(["id", "key"])
     out = met.join(context, ["id", "key"])
     end = float(np.log10(ends + 0.5))
