@@ -90,9 +90,13 @@ class Classifier:
         return both // FEATURES, both % FEATURES, n
 
     def fit(self, texts: pa.Array, domain: np.ndarray, rounds: int = 80) -> None:
-        doc, feature, _ = presence(texts)
-        both = np.unique(doc << TABLE_BITS | feature)
-        doc, feature = both >> TABLE_BITS, both & ((1 << TABLE_BITS) - 1)
+        found = []
+        for lo in range(0, len(texts), 64):
+            doc, feature, _ = presence(texts.slice(lo, 64))
+            found.append(np.unique((doc + lo) << TABLE_BITS | feature))
+        both = np.concatenate(found)
+        doc, feature = (both >> TABLE_BITS).astype(np.int32), (both & ((1 << TABLE_BITS) - 1)).astype(np.int32)
+        del found, both
         size, k = 1 << TABLE_BITS, len(self.domains)
         n = np.bincount(domain, minlength=k)
         seen = np.stack([np.bincount(feature[domain[doc] == c], minlength=size) for c in range(k)])
