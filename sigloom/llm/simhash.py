@@ -216,12 +216,17 @@ def trie_links(fps: DataFrame) -> DataFrame:
 
 def classes(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v), by contraction: each node joins
-    its smallest neighbour, until no link between different nodes is left."""
+    the least of its neighbours and itself, until no link between different nodes is
+    left. Least is by a hash that changes with the round, so that a good share of the
+    nodes goes each round, on chains too."""
     edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     labels = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().select("node", F.col("node").alias("root"))
+    turn = 0
     while not edges.isEmpty():
-        up = edges.union(edges.select("v", "u")).groupBy(F.col("u").alias("at")).agg(F.min("v").alias("low"))
-        up = written(up.select("at", F.least("at", "low").alias("to")))
+        turn += 1
+        low, own = (F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to")) for c in ("v", "at"))
+        up = edges.union(edges.select("v", "u")).groupBy(F.col("u").alias("at")).agg(F.min(low).alias("low"))
+        up = written(up.select("at", F.least("low", own)["to"].alias("to")))
         labels = written(labels.join(up, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")))
         ends = edges.join(up, F.col("u") == F.col("at")).select(F.col("to").alias("u"), "v").join(up, F.col("v") == F.col("at")).select("u", F.col("to").alias("v"))
         edges = written(ends.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
