@@ -222,9 +222,7 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, limit=2 << 20):
-            share, some = model.shares(b.column(1))
-            if not model.labels:
-                share, some = np.zeros((len(some), 1)), np.zeros(len(some), bool)
+            share, some = model.shares(b.column(1)) if model.labels else (np.zeros((b.num_rows, 1)), np.zeros(b.num_rows, bool))
             total = share.sum(axis=1)
             share = np.where(total[:, None] > 0, share / np.maximum(total, 1e-9)[:, None], 1 / share.shape[1])
             best = share.argmax(axis=1)
