@@ -464,7 +464,7 @@ def cosine_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVAL = f"""{_CASCADE}, called AS (SELECT pid, 'lib.' || coord || '.x.C' || pid AS name FROM lib),
-truth AS (SELECT a.qid, 'lib.' || min_by(l.coord, l.pid) || '.x.C' || min(l.pid) AS original FROM app a JOIN lib l ON l.n_words = a.n_words AND l.coord = a.coord GROUP BY a.qid),
+truth AS (SELECT a.qid, 'lib.' || min_by(l.coord, l.pid) || '.x.C' || min(l.pid) AS original FROM app a JOIN lib l ON l.hi = a.hi OR l.lo = a.lo GROUP BY a.qid),
 judged AS (SELECT d.qid, d.tier, c.name AS found, t.original FROM detected d LEFT JOIN called c ON c.pid = d.payload_id LEFT JOIN truth t ON t.qid = d.qid),
 counts AS (SELECT count(*) FILTER (original IS NOT NULL) AS tested, count(*) FILTER (found = original) AS tp, count(*) FILTER (found IS NOT NULL AND found IS DISTINCT FROM original) AS fp, count(*) FILTER (found IS NULL AND original IS NOT NULL) AS fn, count(*) FILTER (found = original AND tier = 1) AS tier1, count(*) FILTER (found = original AND tier = 2) AS tier2, count(*) FILTER (found = original AND tier = 3) AS tier3 FROM judged),
 shares AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM counts)"""
@@ -475,8 +475,10 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = F.concat(F.lit("lib."), F.col("coord"), F.lit(".x.C"), F.col("pid").cast("string"))
     called = lib.select(F.col("pid").alias("payload_id"), name.alias("found"))
     found = d.detect(_app_classes(spark, sf_dir)).join(called, "payload_id", "left").select("qid", "found", "tier")
-    same = app(spark, sf_dir).select("qid", "n_words", "coord").join(lib.select("n_words", "coord", "pid"), ["n_words", "coord"])
-    truth = same.groupBy("qid", "coord").agg(F.min("pid").alias("pid")).select("qid", name.alias("original"))
+    # The truth: the first library class that shares a lane of the code.
+    pairs = [app(spark, sf_dir).select("qid", lane).join(lib.select(lane, "coord", "pid"), lane).select("qid", "pid", "coord") for lane in ("hi", "lo")]
+    first = pairs[0].union(pairs[1]).groupBy("qid").agg(F.min(F.struct("pid", "coord")).alias("f"))
+    truth = first.select("qid", "f.pid", "f.coord").select("qid", name.alias("original"))
     return found, truth
 
 
