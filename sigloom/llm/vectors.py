@@ -8,9 +8,12 @@ clusters need many lists, clustered data few.
 
 A residual is coded in ``dim / 4`` bytes. For an inner product the table of a query
 (its products with all codewords) serves every list, since <q, c + r> = <q, c> + <q, r>.
-Each task ranks its rows by the tables, keeps ``SHORTLIST`` a query (ties to the
-smaller id, so a large group of equal vectors gives its first ones) and scores these
-exactly in double precision on the original vectors.
+Each task ranks its rows by the tables and scores the first ``SHORTLIST`` of a query on
+the original vectors, which gives a floor for the k-th score. A row's score differs from
+its table score by at most |q| times the norm of what its code leaves out, so every row
+that could reach the floor is scored as well, however many there are: of the lists a
+query visits no neighbour is lost. Scores are in double precision, ties go to the smaller
+id. Of equal vectors in a task the first k + 1 suffice.
 
 Scale: lists are dealt into packs of about equal size, a large list over several of
 them, and queries into chunks; a task holds one pack and one chunk, both bounded. At
@@ -37,6 +40,7 @@ QUERY_EVERY = 20
 #: Vectors that centroids and codebooks are fitted on.
 SAMPLE = 8192
 TARGET = 0.97
+#: Rows a query and pack whose exact scores set the floor; no limit on what is scored.
 SHORTLIST = 80
 PACKS = 24
 PACK_ROWS = 1 << 16
@@ -130,6 +134,50 @@ def _visits(index: Index, packs_of: list[list[int]]):
     return run
 
 
+def left_out(index: Index, vecs: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Norm of what the centroid and the code of each row leave out."""
+    total = np.zeros(len(vecs))
+    for part, (a, b, book) in enumerate(zip(index.cuts[:-1], index.cuts[1:], index.books, strict=True)):
+        rest = vecs[:, a:b].astype(np.float64) - index.centroids[lists, a:b] - book[codes[:, part]]
+        total += (rest * rest).sum(axis=1)
+    return np.sqrt(total)
+
+
+def exact(q: np.ndarray, vecs: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """<q[row], vecs[at]> in double precision."""
+    return np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[row[s : s + 8192]].astype(np.float64), vecs[at[s : s + 8192]].astype(np.float64)) for s in range(0, len(row), 8192)]])
+
+
+def nth_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest score of each row, -inf where there are fewer."""
+    n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(scores), -np.inf)
+
+
+def contenders(index: Index, k: int, q: np.ndarray, seen: np.ndarray, vecs: np.ndarray, lists: np.ndarray, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all ``seen`` pairs that can be among a query's k best."""
+    score = (q @ index.centroids.T)[:, lists]
+    for part, (a, b, book) in enumerate(zip(index.cuts[:-1], index.cuts[1:], index.books, strict=True)):
+        score += np.take(q[:, a:b] @ book.T, codes[:, part], axis=1)
+    score[~seen] = -np.inf
+    first = np.argpartition(score, len(vecs) - SHORTLIST, axis=1)[:, -SHORTLIST:] if len(vecs) > SHORTLIST else np.broadcast_to(np.arange(len(vecs)), score.shape)
+    row = np.repeat(np.arange(len(q)), first.shape[1])
+    floor = exact(q, vecs, row, first.ravel()).reshape(first.shape)
+    floor[~np.take_along_axis(seen, first, axis=1)] = -np.inf
+    floor = nth_of(floor, k)
+    # Single precision is off by less than this, of a sum of dim products.
+    norm, size = np.linalg.norm(q.astype(np.float64), axis=1), np.linalg.norm(vecs.astype(np.float64), axis=1)
+    slack = 4 * (index.dim + len(index.books)) * np.finfo(np.float32).eps * norm * (size + error).max()
+    score += (norm[:, None] * error).astype(np.float32)
+    able = seen & ~(score < (floor - slack)[:, None].astype(np.float32))
+    some = np.flatnonzero(able.any(axis=0))
+    score = q @ vecs[some].T
+    able = able[:, some]
+    score[~able] = -np.inf
+    row, at = np.nonzero(able & ~(score < (np.maximum(floor, nth_of(score, k)) - 2 * slack)[:, None].astype(np.float32)))
+    return row, some[at]
+
+
 def _search(index: Index, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -137,9 +185,14 @@ def _search(index: Index, k: int):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         left = left.sort_by("vec_id")
-        ids, lists = left["vec_id"].to_numpy(), left["list"].to_numpy()
         vecs = matrix(left["vec"].combine_chunks(), index.dim)
-        codes = np.frombuffer(b"".join(left["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        alike = np.unique(np.ascontiguousarray(vecs).view(np.dtype((np.void, 4 * index.dim))).ravel(), return_inverse=True)[1]
+        order = np.argsort(alike, kind="stable")
+        nth = np.arange(len(order)) - np.searchsorted(alike[order], alike[order])
+        kept = np.sort(order[nth <= k])
+        ids, lists, vecs = left["vec_id"].to_numpy()[kept], left["list"].to_numpy()[kept], vecs[kept]
+        codes = np.frombuffer(b"".join(left["code"].to_pylist()), dtype=np.uint8).reshape(len(order), -1)[kept]
+        error = left_out(index, vecs, lists, codes)
         queries, asked = matrix(right["q"].combine_chunks(), index.dim), right["query_id"].to_numpy()
         visits = np.stack(right["visits"].to_numpy())
         step, out = max(1, (1 << 22) // len(ids)), []
@@ -147,21 +200,13 @@ def _search(index: Index, k: int):
             q, own = queries[lo : lo + step], asked[lo : lo + step]
             seen = np.zeros((len(q), index.lists), dtype=bool)
             np.put_along_axis(seen, visits[lo : lo + step], True, axis=1)
-            score = (q @ index.centroids.T)[:, lists]
-            for part, (a, b, book) in enumerate(zip(index.cuts[:-1], index.cuts[1:], index.books, strict=True)):
-                score += (q[:, a:b] @ book.T)[:, codes[:, part]]
-            score[~seen[:, lists] | (ids[None, :] == own[:, None])] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :SHORTLIST]
-            row = np.repeat(np.arange(len(q)), best.shape[1])
-            best = best.ravel()
-            real = score[row, best] > -np.inf
-            row, best = row[real], best[real]
-            exact = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[row[s : s + 8192]].astype(np.float64), vecs[best[s : s + 8192]].astype(np.float64)) for s in range(0, len(row), 8192)]])
-            order = np.lexsort((ids[best], -exact, row))
+            row, best = contenders(index, k, q, seen[:, lists] & (ids[None, :] != own[:, None]), vecs, lists, codes, error)
+            score = exact(q, vecs, row, best)
+            order = np.lexsort((ids[best], -score, row))
             row = row[order]
             nth = np.arange(len(row)) - np.searchsorted(row, row)
             order = order[nth < k]
-            out.append(pa.Table.from_arrays([pa.array(own[row[nth < k]]), pa.array(ids[best[order]]), pa.array(exact[order])], schema=schema))
+            out.append(pa.Table.from_arrays([pa.array(own[row[nth < k]]), pa.array(ids[best[order]]), pa.array(score[order])], schema=schema))
         return pa.concat_tables(out)
 
     return run

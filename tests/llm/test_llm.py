@@ -268,6 +268,26 @@ def test_vectors_recall_and_edges(spark):
     assert vectors.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
+def test_vectors_of_near_copies(spark, monkeypatch):
+    # One pack of 4,000 rows, 1,200 of them near copies that their codes cannot order.
+    monkeypatch.setattr(vectors, "PACKS", 1)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 32))
+    x[::20][:60] = x[0] / np.linalg.norm(x[0])
+    x[1000:2140] = x[0] / np.linalg.norm(x[0])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    group = np.r_[0:1200:20, 1000:2140]
+    x[group] += rng.normal(size=(len(group), 32)) * 0.05
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    out = vectors.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    hit = []
+    for q in range(0, 1200, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit.append(len(set(np.argsort(-s)[:20]) & set(out[out.query_id == q].vec_id)) / 20)
+    assert np.mean(hit) >= 0.95
+
+
 SYLLABLES = {"en": ["th", "er", "ing", "wh", "sh"], "fr": ["eau", "é", "oi", "qu", "ç"], "de": ["sch", "ü", "keit", "pf", "ß"]}
 
 
