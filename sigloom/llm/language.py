@@ -236,7 +236,9 @@ def _predict(model: Model):
 def fitted(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from rows (text, lang)."""
     rows = labelled.where("lang is not null and length(text) > 0")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    # Copies collapse in the sample, so the share is one of distinct texts.
+    distinct = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = {r[0]: r[1] for r in distinct.groupBy("lang").count().collect()}
     model = Model(sorted(counts))
     if not counts:
         return model

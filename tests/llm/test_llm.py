@@ -309,6 +309,19 @@ def test_language(spark):
     assert {x.lang_pred for x in language.predicted(df, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_sample_of_many_copies(spark, monkeypatch):
+    # 400 distinct texts of a language, and 40,000 copies of one more.
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    own = spark.createDataFrame([(sentence(r, lang, 12), lang) for lang in ("en", "fr") for _ in range(400)], "text string, lang string")
+    copies = spark.range(40_000).select(F.lit("eau qu oi").alias("text"), F.lit("fr").alias("lang"))
+    taken = []
+    monkeypatch.setattr(language.Model, "fit", lambda model, texts, langs: taken.extend(langs))
+    language.fitted(own.union(copies))
+    assert all(200 <= n <= 300 for n in Counter(taken).values()) and set(taken) == {"en", "fr"}
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
     e, turn = rng.normal(size=(5, 3)).astype(np.float32), rng.random((3, 3)).astype(np.float32)
