@@ -5,8 +5,8 @@ grouped card numbers, spaced-out addresses of machines).
 The field scores whole candidate segments: features look at a segment's digits, shape,
 checksum, separators and the words before it. Segments have at most ``LONGEST``
 tokens, so the dynamic program over boundaries and types is linear in a text's length.
-Outside of zones that hold seven digits or a spelled-out "at" every token is its own
-unlabelled segment, whatever the weights, so only zones are walked; a segment may not
+Outside of zones that hold seven digits, four short numbers between dots (bracketed or
+spelled out as well) or a spelled-out "at" every token is its own unlabelled segment, whatever the weights, so only zones are walked; a segment may not
 touch a base span. Weights are fitted to the conditional likelihood of generated
 sentences, whose segmentation is known; no text of the corpus is needed.
 
@@ -42,6 +42,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _NUMBERS = re.compile(r"[+(\[]{0,2}[0-9](?:[ ().\[\]/·–-]{0,3}[0-9])+")
+# A dot as machine addresses spell it.
+_DOT = r" ?(?:[(\[{<] ?(?:\.|dot) ?[)\]}>]|[(\[]?\. ?[)\]]?) ?| dot "
+_SHORT = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}+(?![0-9])(?:(?:{_DOT})[0-9]{{1,3}}+(?![0-9])){{3,}}+")
+_DOTS = re.compile(rf"(?i){_DOT}")
 _SPELLED = re.compile(r"(?i)[(\[{<] ?(?:at|@) ?[)\]}>]| at [a-z0-9-]{1,40} (?:dot |[(\[{<] ?(?:dot|\.))")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
@@ -96,6 +100,7 @@ def zones(text: str) -> list[tuple[int, int]]:
         for m in _NUMBERS.finditer(text):
             if m.end() - m.start() >= 7 and sum("0" <= c <= "9" for c in m[0]) >= 7:
                 out.append((m.start(), m.end()))
+        out += [(m.start(), m.end()) for m in _SHORT.finditer(text) if len(_DOTS.findall(m[0])) == 3]
     for m in _SPELLED.finditer(text):
         a, b = max(0, m.start() - 48), min(len(text), m.end() + 64)
         while a and not text[a - 1].isspace() and m.start() - a < 112:
@@ -123,7 +128,7 @@ _NATIONAL = re.compile(r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4
 _GROUPED = re.compile(r"(?:\+|00)?[\d]{1,4}(?:[ ./-]\(?\d{2,4}\)?){2,5}$")
 _CARD_SHAPE = re.compile(r"\d{4}(?:[^\dA-Za-z]{1,3}\d{4}){3}$|\d{4}[^\dA-Za-z]{1,3}\d{6}[^\dA-Za-z]{1,3}\d{5}$")
 _ADDRESS = re.compile(r"(?i)[a-z0-9][a-z0-9_+-]*(?:(?:\.| dot )[a-z0-9_+-]+)*(?: ?[(\[{<] ?(?:at|@) ?[)\]}>] ?| at )[a-z0-9-]+(?:(?:\.| dot | ?[(\[{<] ?(?:dot|\.) ?[)\]}>] ?)[a-z0-9-]+)*(?:\.| dot | ?[(\[{<] ?(?:dot|\.) ?[)\]}>] ?)[a-z]{2,12}$")
-_OCTETS = re.compile(r"(\d{1,3})(?: ?[(\[]?\. ?[)\]]?|\[dot\]|\(dot\))(\d{1,3})(?: ?[(\[]?\.[)\]]? ?|\[dot\]|\(dot\))(\d{1,3})(?: ?[(\[]?\.[)\]]? ?|\[dot\]|\(dot\))(\d{1,3})$")
+_OCTETS = re.compile(rf"(?i)([0-9]{{1,3}})(?:{_DOT})([0-9]{{1,3}})(?:{_DOT})([0-9]{{1,3}})(?:{_DOT})([0-9]{{1,3}})$")
 #: Common endings of addresses, fixed values.
 _ENDINGS = re.compile(r"(?i)[^a-z](?:com|org|net|edu|gov|info|io|eu|uk|us|de|fr|es|it|nl|ch)$")
 FEATURES = 31
@@ -223,8 +228,9 @@ def generated(n: int, seed: int = 11) -> Iterator[tuple[str, tuple[int, int, int
         return f"{name}{at}{r.choice([word(), 'mail' + digit(1), 'example'])}{r.choice(['', dot + 'example'])}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
 
     def ip() -> str:
-        dot = r.choice(["[.]", "(.)", " . ", ". "])
-        return dot.join(str(r.randint(1, 255)) for _ in range(4))
+        dot = r.choice(["[.]", "(.)", " . ", ". ", "[dot]", "(dot)", " [dot] ", " dot "])
+        most = r.choice([9, 99, 255, 255])
+        return dot.join(str(r.randint(0, most)) for _ in range(4))
 
     def card() -> str:
         while not luhn(d := r.choice("3456") + digit(15)):

@@ -177,6 +177,17 @@ def test_field_on_unseen_sentences():
     assert right >= 0.97 * total
 
 
+@pytest.mark.parametrize("item", ["10[.]0[.]0[.]1", "8 . 8 . 8 . 8", "127[.]0[.]0[.]1", "192[dot]168[dot]10[dot]20", "10 dot 0 dot 0 dot 1", "8(dot)8(dot)4(dot)4", "192[.]168[.]0[.]1"])
+def test_short_machine_addresses(item):
+    text = f"the host {item} answers"
+    assert pii.all_spans(text, pii.weights())[1] == [(9, 1, 9 + len(item))]
+
+
+@pytest.mark.parametrize("item", ["300[.]1[.]1[.]1", "1 . 2 . 3", "1 . 2 . 3 . 4 . 5", "1 dot 2 dot 3 dot 1000", "1, 2, 3, 4"])
+def test_no_machine_addresses(item):
+    assert pii.all_spans(f"the host {item} answers", pii.weights())[1] == []
+
+
 def test_near_lines_by_brute_force(spark):
     r = random.Random(2)
     vocab = ["a", "b", "c", "dd", "é"]
