@@ -3,13 +3,17 @@
 A token's probability is P(class | context) P(token | class). Classes come from a word's
 last three bytes; the end of a text is a class of its own. P(class | context) is a
 softmax over hashed features of the context: the word before, the word two before (a
-skip feature) and both together. P(token | class) is its smoothed share of the class.
+skip feature) and both together. Within a class a word is found digit by digit of its
+hash: P(digit | class, digits before, context) is a softmax as well, over features of the
+same contexts with the class and the digits before, around the words' shares of it. Words
+that share class and all ``DEPTH`` digits, a leaf, have their smoothed shares of the leaf.
 
 Training covers every training document. One pass counts each feature with each class
 (the observed half of the gradient, and a start for the weights); each further pass
 takes the model's expectations in sparse numpy blocks, and the weights move along the
 gradient, observed minus expected, scaled by both. A task returns one sum a feature
-table, whatever its rows; sums meet by slices of the table. The model is three megabytes.
+table, whatever its rows; sums meet by slices of the table. The model is ten megabytes,
+whatever the input: at large inputs contexts share entries.
 
 Token counts are exact and no vocabulary is ever in one place: each block of texts sends
 its distinct words, compressed, to buckets of their hash; a bucket adds up the training
@@ -36,10 +40,15 @@ from sigloom.llm.common import Words, blocks, flat, fold, mixed, partitions, squ
 FOLDS, HELD_OUT = 5, 1
 CLASSES = 64
 TABLES, TABLE_BITS = 3, 12
+#: Digits of a word within its class, how many each can be, and bits of their tables.
+DEPTH, DIGITS, DIGIT_BITS = 2, 16, 14
+LEAVES = DIGITS**DEPTH
 UPDATES = 2
 #: Pseudo-counts of a context at the start, the share of its evidence that one feature
 #: takes, pseudo-counts of a step, and the step's length.
 PRIOR, SHARE, DAMP, RATE = 300, 0.6, 50, 0.9
+#: The first and third of these for digits, whose contexts are rarer.
+DIGIT_PRIOR, DIGIT_DAMP = 100, 50
 MAP_BYTES = 8 << 20
 BUCKETS_A_PARTITION = 8
 SLICES = 48
@@ -56,9 +65,16 @@ def classes_of(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (mixed(code) >> np.uint64(40)).astype(np.int64) % (CLASSES - 1)
 
 
+def leaves_of(classes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The leaf of each word from its class and hash."""
+    return classes * LEAVES + ((mixed(hashes ^ np.uint64(0x77)) >> np.uint64(32)) % np.uint64(LEAVES)).astype(np.int64)
+
+
 class Tokens:
     """Tokens of a block of texts, each text's words and its end: hashed features of
-    their contexts, and their classes. Text d has tokens first[d]:first[d + 1]."""
+    their contexts, and their classes and leaves. Text d has tokens first[d]:first[d + 1];
+    ``words`` are those that are no end, ``levels`` the nodes, digits and features of
+    these for each digit."""
 
     def __init__(self, texts: pa.Array):
         words = Words(*flat(texts, lower=True))
@@ -68,14 +84,24 @@ class Tokens:
         index = np.arange(len(doc))
         self.first = words.first + np.arange(n + 1)
         before = np.full(len(words) + 2 * n, 0x1234567, dtype=np.uint64)
-        before[np.arange(len(words)) + 2 * (np.repeat(np.arange(n), np.diff(words.first)) + 1)] = word_hashes(packed, at)
+        hashes = word_hashes(packed, at)
+        before[np.arange(len(words)) + 2 * (np.repeat(np.arange(n), np.diff(words.first)) + 1)] = hashes
         one, two = before[index + doc + 1], before[index + doc]
         shift = np.uint64(64 - TABLE_BITS)
-        self.features = [(mixed(x) >> shift).astype(np.uint16) for x in (one, two ^ np.uint64(0x5555), one * np.uint64(3) + two)]
+        contexts = [one, two ^ np.uint64(0x5555), one * np.uint64(3) + two]
+        self.features = [(mixed(x) >> shift).astype(np.uint16) for x in contexts]
         self.classes = np.full(len(doc), CLASSES - 1)
         ends = np.zeros(len(doc), dtype=bool)
         ends[self.first[1:] - 1] = True
         self.classes[~ends] = classes_of(packed, at)
+        self.words = np.flatnonzero(~ends)
+        self.leaves = self.classes * LEAVES
+        self.leaves[self.words] = own = leaves_of(self.classes[self.words], hashes)
+        self.levels = []
+        for j in range(DEPTH):
+            node = own // DIGITS ** (DEPTH - j)
+            salt = mixed((node + (j + 1 << 32)).astype(np.uint64))
+            self.levels.append((node, own // DIGITS ** (DEPTH - j - 1) % DIGITS, [(mixed(x[self.words] ^ salt) >> np.uint64(64 - DIGIT_BITS)).astype(np.int64) for x in contexts]))
 
 
 def factors_of(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -95,25 +121,67 @@ def products(factors: np.ndarray, features: list[np.ndarray], lo: int, hi: int)
     return z, z @ np.ones(CLASSES, dtype=np.float32)
 
 
+def digit_chances(prior: np.ndarray, factors: np.ndarray, node: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """Chances of the digits of tokens, by their nodes' prior and their features."""
+    z = np.take(prior, node, axis=0)
+    for t in range(TABLES):
+        z *= np.take(factors[t], features[t], axis=0)
+    z /= (z @ np.ones(DIGITS, dtype=np.float32))[:, None]
+    return z
+
+
+def digit_sums(into: np.ndarray, features: list[np.ndarray], chances: np.ndarray) -> None:
+    """Adds the chances of tokens to their features' entries."""
+    for t in range(TABLES):
+        at = (features[t][:, None] * DIGITS + np.arange(DIGITS)).ravel()
+        into[t] += np.bincount(at, weights=chances.ravel(), minlength=DIGITS << DIGIT_BITS)
+
+
+def priors(mass: np.ndarray) -> list[np.ndarray]:
+    """For each digit the shares of a node's children, from the mass of the leaves."""
+    out = []
+    for j in range(DEPTH):
+        m = mass.reshape(CLASSES * DIGITS**j, DIGITS, -1).sum(axis=2)
+        out.append((m / m.sum(axis=1, keepdims=True)).astype(np.float32))
+    return out
+
+
+#: Entries of the class tables, and of the tables of one digit.
+CLASS_SIZE, DIGIT_SIZE = TABLES * (CLASSES << TABLE_BITS), TABLES * (DIGITS << DIGIT_BITS)
+
+
 def _sent(sums: np.ndarray) -> pa.RecordBatch:
-    flat_ = np.array_split(sums.ravel(), SLICES)
+    flat_ = np.array_split(sums, SLICES)
     return pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([squeeze(x.tobytes(), 1) for x in flat_], pa.binary())], names=["slice", "sums"])
 
 
-def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = CLASSES << TABLE_BITS
-    sums = np.zeros((TABLES, n), dtype=np.float64)
-    for b in blocks(batches):
-        t = Tokens(b.column(0))
-        for k in range(TABLES):
-            sums[k] += np.bincount(t.features[k].astype(np.int64) * CLASSES + t.classes, minlength=n)
-    yield _sent(sums)
+def _observe(held):
+    """Counts of features with classes and with digits, and for each digit what its
+    prior expects of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = CLASSES << TABLE_BITS
+        sums = np.zeros((TABLES, n), dtype=np.float64)
+        digits = np.zeros((2, DEPTH, TABLES, DIGITS << DIGIT_BITS))
+        for b in blocks(batches):
+            t = Tokens(b.column(0))
+            for k in range(TABLES):
+                sums[k] += np.bincount(t.features[k].astype(np.int64) * CLASSES + t.classes, minlength=n)
+            for j, (node, digit, features) in enumerate(t.levels):
+                for k in range(TABLES):
+                    digits[0, j, k] += np.bincount(features[k] * DIGITS + digit, minlength=DIGITS << DIGIT_BITS)
+                for lo in range(0, len(node), SPAN):
+                    digit_sums(digits[1, j], [f[lo : lo + SPAN] for f in features], np.take(held.value[j], node[lo : lo + SPAN], axis=0))
+        yield _sent(np.concatenate([sums.ravel(), digits.ravel()]))
+
+    return run
 
 
 def _expect(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = held.value
+        prior, factors, digit_factors = held.value
         sums = np.zeros((TABLES, 1 << TABLE_BITS, CLASSES), dtype=np.float64)
+        digits = np.zeros((DEPTH, TABLES, DIGITS << DIGIT_BITS))
         ones = np.ones(SPAN, dtype=np.float32)
         chances = np.empty((SPAN, CLASSES), dtype=np.float32)
         for b in blocks(batches):
@@ -132,45 +200,66 @@ def _expect(held):
                     # A product with ones adds up an entry's rows faster than reduceat does.
                     for p, q, entry in zip(edges[:-1].tolist(), edges[1:].tolist(), f[edges[:-1]].tolist(), strict=True):
                         into[entry] += ones[: q - p] @ rows[p:q]
-        yield _sent(sums)
+            for j, (node, _, features) in enumerate(t.levels):
+                for lo in range(0, len(node), SPAN):
+                    part = [f[lo : lo + SPAN] for f in features]
+                    digit_sums(digits[j], part, digit_chances(prior[j], digit_factors[j], node[lo : lo + SPAN], part))
+        yield _sent(np.concatenate([sums.ravel(), digits.ravel()]))
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            size = 8 * len(np.array_split(np.empty(TABLES * (CLASSES << TABLE_BITS), np.uint8), SLICES)[k])
-            x = unsqueeze(blob.as_py(), size).view(np.float64)
-            total[k] = total[k] + x if k in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
+def _add(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                size = 8 * len(np.array_split(np.empty(n, np.uint8), SLICES)[k])
+                x = unsqueeze(blob.as_py(), size).view(np.float64)
+                total[k] = total[k] + x if k in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
+
+    return run
 
 
-def summed(texts: DataFrame, task) -> np.ndarray:
-    """Sums of what ``task`` finds in all texts, as (table, entry, class)."""
-    parts = texts.mapInArrow(task, "slice int, sums binary").repartition(min(SLICES, partitions(texts.sparkSession)), "slice").mapInArrow(_add, "slice int, sums binary").collect()
-    out = np.zeros(TABLES * (CLASSES << TABLE_BITS))
-    cuts = np.array_split(np.arange(len(out)), SLICES)
+def summed(texts: DataFrame, task, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of what ``task`` finds in all texts, ``n`` numbers: of the classes as (table,
+    entry, class), of the digits as (.., table, entry, digit)."""
+    parts = texts.mapInArrow(task, "slice int, sums binary").repartition(min(SLICES, partitions(texts.sparkSession)), "slice").mapInArrow(_add(n), "slice int, sums binary").toLocalIterator()
+    out = np.zeros(n)
+    cuts = np.array_split(np.arange(n), SLICES)
     for k, x in parts:
         out[cuts[k]] = np.frombuffer(x)
-    return out.reshape(TABLES, 1 << TABLE_BITS, CLASSES)
+    return out[:CLASS_SIZE].reshape(TABLES, 1 << TABLE_BITS, CLASSES), out[CLASS_SIZE:].reshape(-1, TABLES, 1 << DIGIT_BITS, DIGITS)
+
+
+def trained(texts: DataFrame, mass: np.ndarray, updates: int = UPDATES) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """The priors of the digits, the class model and the models of the digits (see
+    factors_of: table, entry, outcome), from rows (text) and the mass of the leaves."""
+    prior = priors(mass)
+    held = texts.sparkSession.sparkContext.broadcast(prior)
+    observed, digits = summed(texts, _observe(held), CLASS_SIZE + 2 * DEPTH * DIGIT_SIZE)
+    held.unpersist()
+    seen, first = digits[:DEPTH], digits[DEPTH:]
+    share = observed[0].sum(axis=0) + 0.5
+    share /= share.sum()
+    bias = np.log(share)
+    rows = observed.sum(axis=2, keepdims=True)
+    weights = np.log((observed + PRIOR * share) / ((rows + PRIOR) * share)) * SHARE
+    rows = seen.sum(axis=3, keepdims=True)
+    usual = np.where(first > 0, first / np.maximum(rows, 1), 1 / DIGITS)
+    inner = np.log((seen + DIGIT_PRIOR * usual) / ((rows + DIGIT_PRIOR) * usual)) * SHARE
 
+    def model():
+        return prior, factors_of(weights, bias), [factors_of(x, np.zeros(DIGITS)) for x in inner]
 
-def trained(texts: DataFrame, updates: int = UPDATES) -> np.ndarray:
-    """The class model (see factors_of: table, entry, class), from rows (text)."""
-    observed = summed(texts, _observe)
-    prior = observed[0].sum(axis=0) + 0.5
-    prior /= prior.sum()
-    bias = np.log(prior)
-    rows = observed.sum(axis=2, keepdims=True)
-    weights = np.log((observed + PRIOR * prior) / ((rows + PRIOR) * prior)) * SHARE
     for _ in range(updates):
-        held = texts.sparkSession.sparkContext.broadcast(factors_of(weights, bias))
-        expected = summed(texts, _expect(held))
+        held = texts.sparkSession.sparkContext.broadcast(model())
+        expected, digits = summed(texts, _expect(held), CLASS_SIZE + DEPTH * DIGIT_SIZE)
         weights += RATE * (observed - expected) / ((observed + expected) / 2 + DAMP)
+        inner += RATE * (seen - digits) / ((seen + digits) / 2 + DIGIT_DAMP)
         held.unpersist()
-    return factors_of(weights, bias)
+    return model()
 
 
 # -- exact counts of words ----------------------------------------------------------
@@ -229,8 +318,8 @@ def byte_starts(words: pa.Array) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0 passes; words of a bucket are answered with their counts (kind 1); tokens
-    and distinct tokens by class of the whole task come last (kind 2)."""
-    total = np.zeros((2, CLASSES), dtype=np.int64)
+    and distinct tokens by leaf of the whole task come last (kind 2)."""
+    total = np.zeros((2, CLASSES * LEAVES), dtype=np.int64)
 
     def answer(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -245,9 +334,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = words.dictionary_encode().indices.to_numpy()
         count = np.bincount(number, weights=seen).astype(np.int64)
         _, where = np.unique(number, return_index=True)
-        kind = classes_of(text, np.concatenate(([0], ends + 1)))[where]
-        total[0] += np.bincount(kind, weights=count, minlength=CLASSES).astype(np.int64)
-        total[1] += np.bincount(kind, weights=count > 0, minlength=CLASSES).astype(np.int64)
+        at = np.concatenate(([0], ends + 1))
+        kind = leaves_of(classes_of(text, at), word_hashes(text, at))[where]
+        total[0] += np.bincount(kind, weights=count, minlength=CLASSES * LEAVES).astype(np.int64)
+        total[1] += np.bincount(kind, weights=count > 0, minlength=CLASSES * LEAVES).astype(np.int64)
         out, at = [], 0
         for chunk, bucket, (n, _), _ in held:
             out.append((chunk, 1, bucket, [n], squeeze(count[number[at : at + n]].tobytes())))
@@ -268,6 +358,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows([(0, 2, 0, total.ravel().tolist(), b"")])
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all rows (sizes), none for no rows."""
+    rows = [b.column(0).flatten().to_numpy().reshape(b.num_rows, -1).sum(axis=0) for b in batches if b.num_rows]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(rows)], pa.list_(pa.int64()))], names=["sizes"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text: its number of words, of known ones, and the sum of log10(c + 0.5)."""
 
@@ -296,10 +393,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(held, spread: np.ndarray):
-    """Of each text: the sum of log10 P(class | context) / (tokens of the class)."""
+    """Of each text: the sum of log10 P(leaf | context) / (tokens of the leaf)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = held.value
+        prior, factors, digit_factors = held.value
         for b in blocks(batches):
             t = Tokens(b.column(2))
             each = np.empty(len(t.classes))
@@ -307,7 +404,12 @@ def _score(held, spread: np.ndarray):
                 hi = min(lo + STEP, len(each))
                 z, total = products(factors, t.features, lo, hi)
                 each[lo:hi] = np.log10(z[np.arange(hi - lo), t.classes[lo:hi]].astype(np.float64) / total)
-            each -= spread[t.classes]
+            for j, (node, digit, features) in enumerate(t.levels):
+                for lo in range(0, len(node), SPAN):
+                    hi = min(lo + SPAN, len(node))
+                    z = digit_chances(prior[j], digit_factors[j], node[lo:hi], [f[lo:hi] for f in features])
+                    each[t.words[lo:hi]] += np.log10(z[np.arange(hi - lo), digit[lo:hi]].astype(np.float64))
+            each -= spread[t.leaves]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.add.reduceat(each, t.first[:-1]))], names=["id", "key", "context"])
 
     return run
@@ -326,17 +428,17 @@ def scored(docs: DataFrame, train) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), train.alias("train"), text.alias("text"), key.alias("key"))
     sent = keyed.select("id", "train", "text", F.monotonically_increasing_id().alias("row"), "key").mapInArrow(_send(n * BUCKETS_A_PARTITION), _ROW)
     counted = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, _ROW))
-    total = np.zeros((2, CLASSES))
-    # One row a task of the counting, whatever the input.
-    for (sizes,) in counted.where("kind = 2").select("sizes").collect():
-        total += np.array(sizes).reshape(2, CLASSES)
+    total = np.zeros((2, CLASSES * LEAVES))
+    # Eight rows, whatever the input.
+    for (sizes,) in counted.where("kind = 2").select("sizes").repartition(8).mapInArrow(_totals, "sizes array<long>").collect():
+        total += np.array(sizes).reshape(total.shape)
     ends = keyed.where("train").count()
-    total[:, CLASSES - 1] = ends, min(ends, 1)
+    total[:, (CLASSES - 1) * LEAVES] = ends, min(ends, 1)
     tokens, distinct = total.sum(axis=1)
-    spread = np.log10(total[0] + 0.5 * (total[1] + 1))
+    mass = total[0] + 0.5 * (total[1] + 1)
     met = counted.where("kind < 2").repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_meet, "id long, key int, n_words long, known long, logs double")
-    held = spark.sparkContext.broadcast(trained(keyed.where("train").select("text")))
-    context = keyed.select("id", "key", "text").mapInArrow(_score(held, spread), "id long, key int, context double").dropDuplicates(["id", "key"])
+    held = spark.sparkContext.broadcast(trained(keyed.where("train").select("text"), mass))
+    context = keyed.select("id", "key", "text").mapInArrow(_score(held, np.log10(mass)), "id long, key int, context double").dropDuplicates(["id", "key"])
     out = met.join(context, ["id", "key"])
     end = float(np.log10(ends + 0.5))
     base = F.col("logs") + end - (F.col("n_words") + 1) * float(np.log10(tokens + 0.5 * (distinct + 1)))

@@ -369,6 +369,33 @@ def test_classes_sum_to_one():
     assert np.allclose(z.sum(axis=1), total, rtol=1e-5)
 
 
+def test_words_within_a_class_follow_their_context(spark):
+    # Words of one class (same last three bytes), each after its own word.
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    pairs = [(f"{a}{b}one", f"{b}{a}ing") for a in "abcd" for b in "efgh"]
+    lines_ = [" ".join(x for p in r.choices(pairs, k=40) for x in p) for _ in range(200)]
+    off = [" ".join(x for a, b in zip(r.choices(pairs, k=40), r.choices(pairs, k=40), strict=True) for x in (a[0], b[1])) for _ in range(20)]
+    held = [" ".join(x for p in r.choices(pairs, k=40) for x in p) for _ in range(20)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lines_ + held + off)], "doc_id long, text string")
+    out = {x.doc_id: x.score for x in scoring.scored(df, F.col("doc_id") < 200).collect()}
+    true, wrong = (np.mean([out[k] for k in range(lo, lo + 20)]) for lo in (200, 220))
+    assert true - wrong > 40 and true > -40 * math.log10(16) * 1.5
+
+
+def test_digits_sum_to_one():
+    t = scoring.Tokens(pa.array(["a b c", None, "d"]))
+    rng = np.random.default_rng(0)
+    mass = rng.random(scoring.CLASSES * scoring.LEAVES) + 0.5
+    for prior, (node, digit, features) in zip(scoring.priors(mass), t.levels, strict=True):
+        f = scoring.factors_of(rng.normal(size=(scoring.TABLES, 1 << scoring.DIGIT_BITS, scoring.DIGITS)), np.zeros(scoring.DIGITS))
+        z = scoring.digit_chances(prior, f, node, features)
+        assert z.shape == (4, scoring.DIGITS) and np.allclose(z.sum(axis=1), 1, atol=1e-5) and digit.max() < scoring.DIGITS
+        f[:] = 1
+        assert np.allclose(scoring.digit_chances(prior, f, node, features), prior[node], atol=1e-6)
+
+
 def test_mixing(spark):
     r = random.Random(6)
     words = [f"w{k}" for k in range(50)]
