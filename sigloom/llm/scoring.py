@@ -9,10 +9,11 @@ same contexts with the class and the digits before, around the words' shares of
 that share class and all ``DEPTH`` digits, a leaf, have their smoothed shares of the leaf.
 
 Training covers every training document. One pass counts each feature with each class
-(the observed half of the gradient, and a start for the weights); each further pass
-takes the model's expectations in sparse numpy blocks, and the weights move along the
-gradient, observed minus expected, scaled by both. A task returns one sum a feature
-table, whatever its rows; sums meet by slices of the table. The model is ten megabytes,
+and digit (the observed half of the gradient, and a start for the weights of classes);
+each further pass takes the model's expectations in sparse numpy blocks, and the weights
+move along the gradient, observed minus expected, scaled by both. A training task takes
+``GROUP`` scan partitions and returns one sum a feature table, whatever its rows; the sums
+meet by slices of the tables, in rounds of ``FAN`` tasks. The model is eight megabytes,
 whatever the input: at large inputs contexts share entries.
 
 Token counts are exact and no vocabulary is ever in one place: each block of texts sends
@@ -20,8 +21,9 @@ its distinct words, compressed, to buckets of their hash; a bucket adds up the t
 counts and answers with one count a word, in the order sent; the block's tokens, as
 numbers, meet the answers in one join. What travels grows with the input.
 
-A null text is empty: one token, its end. Rows repeated with the same id are scored
-alike. A null doc_id counts as the empty text for the fold. Without training documents
+A null text is empty: one token, its end. Repeated rows, and whole tables united with
+themselves, are scored alike, one result a row; rows with one id and different texts
+each by their own. A null doc_id counts as the empty text for the fold. Without training documents
 all counts are zero. Empty tables give empty results; other columns are not used.
 """
 
@@ -31,14 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import Words, blocks, flat, fold, mixed, partitions, squeeze, table, unsqueeze, word_hashes, written
 
 FOLDS, HELD_OUT = 5, 1
-CLASSES = 64
+CLASSES = 32
 TABLES, TABLE_BITS = 3, 12
 #: Digits of a word within its class, how many each can be, and bits of their tables.
 DEPTH, DIGITS, DIGIT_BITS = 2, 16, 14
@@ -47,13 +49,16 @@ UPDATES = 2
 #: Pseudo-counts of a context at the start, the share of its evidence that one feature
 #: takes, pseudo-counts of a step, and the step's length.
 PRIOR, SHARE, DAMP, RATE = 300, 0.6, 50, 0.9
-#: The first and third of these for digits, whose contexts are rarer.
-DIGIT_PRIOR, DIGIT_DAMP = 100, 50
+#: The last two for digits, which start at their node's shares.
+DIGIT_DAMP, DIGIT_RATE = 50, 1.2
 MAP_BYTES = 8 << 20
 BUCKETS_A_PARTITION = 8
 SLICES = 48
+#: Scan partitions of a training task (fewer where cores would idle), and tasks whose sums
+#: meet in one place.
+GROUP, FAN = 8, 512
 #: Tokens whose chances are made, and are added up, at once.
-STEP, SPAN = 1 << 12, 1 << 16
+STEP, SPAN = 1 << 12, 1 << 17
 
 
 def classes_of(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -133,8 +138,9 @@ def digit_chances(prior: np.ndarray, factors: np.ndarray, node: np.ndarray, feat
 def digit_sums(into: np.ndarray, features: list[np.ndarray], chances: np.ndarray) -> None:
     """Adds the chances of tokens to their features' entries."""
     for t in range(TABLES):
-        at = (features[t][:, None] * DIGITS + np.arange(DIGITS)).ravel()
-        into[t] += np.bincount(at, weights=chances.ravel(), minlength=DIGITS << DIGIT_BITS)
+        table_ = into[t].reshape(-1, DIGITS)
+        for d in range(DIGITS):
+            table_[:, d] += np.bincount(features[t], weights=chances[:, d], minlength=len(table_))
 
 
 def priors(mass: np.ndarray) -> list[np.ndarray]:
@@ -151,30 +157,23 @@ CLASS_SIZE, DIGIT_SIZE = TABLES * (CLASSES << TABLE_BITS), TABLES * (DIGITS << D
 
 
 def _sent(sums: np.ndarray) -> pa.RecordBatch:
-    flat_ = np.array_split(sums, SLICES)
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([squeeze(x.tobytes(), 1) for x in flat_], pa.binary())], names=["slice", "sums"])
+    """Slices of a task's sums, in single precision on the way."""
+    group = (TaskContext.get().partitionId() if TaskContext.get() else 0) // FAN
+    flat_ = np.array_split(sums.astype(np.float32), SLICES)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(np.full(SLICES, group, np.int32)), pa.array([squeeze(x.tobytes(), 1) for x in flat_], pa.binary())], names=["slice", "part", "sums"])
 
 
-def _observe(held):
-    """Counts of features with classes and with digits, and for each digit what its
-    prior expects of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = CLASSES << TABLE_BITS
-        sums = np.zeros((TABLES, n), dtype=np.float64)
-        digits = np.zeros((2, DEPTH, TABLES, DIGITS << DIGIT_BITS))
-        for b in blocks(batches):
-            t = Tokens(b.column(0))
-            for k in range(TABLES):
-                sums[k] += np.bincount(t.features[k].astype(np.int64) * CLASSES + t.classes, minlength=n)
-            for j, (node, digit, features) in enumerate(t.levels):
-                for k in range(TABLES):
-                    digits[0, j, k] += np.bincount(features[k] * DIGITS + digit, minlength=DIGITS << DIGIT_BITS)
-                for lo in range(0, len(node), SPAN):
-                    digit_sums(digits[1, j], [f[lo : lo + SPAN] for f in features], np.take(held.value[j], node[lo : lo + SPAN], axis=0))
-        yield _sent(np.concatenate([sums.ravel(), digits.ravel()]))
-
-    return run
+def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of features with classes and with digits."""
+    n, m = CLASSES << TABLE_BITS, DIGITS << DIGIT_BITS
+    sums, digits = np.zeros((TABLES, n)), np.zeros((DEPTH, TABLES, m))
+    for b in blocks(batches):
+        t = Tokens(b.column(0))
+        for k in range(TABLES):
+            sums[k] += np.bincount(t.features[k].astype(np.int64) * CLASSES + t.classes, minlength=n)
+            for j, (_, digit, features) in enumerate(t.levels):
+                digits[j, k] += np.bincount(features[k] * DIGITS + digit, minlength=m)
+    yield _sent(np.concatenate([sums.ravel(), digits.ravel()]))
 
 
 def _expect(held):
@@ -210,26 +209,39 @@ def _expect(held):
 
 
 def _add(n: int):
+    """The sum of each slice's rows (slice, part, sums)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                size = 8 * len(np.array_split(np.empty(n, np.uint8), SLICES)[k])
-                x = unsqueeze(blob.as_py(), size).view(np.float64)
-                total[k] = total[k] + x if k in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
+            for k, blob in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                size = 4 * len(np.array_split(np.empty(n, np.uint8), SLICES)[k])
+                x = unsqueeze(blob.as_py(), size).view(np.float32)
+                if k in total:
+                    total[k] += x
+                else:
+                    total[k] = x.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([squeeze(x.astype(np.float32).tobytes(), 1) for x in total.values()], pa.binary())], names=["slice", "part", "sums"])
 
     return run
 
 
+_SUMS = "slice int, part int, sums binary"
+
+
 def summed(texts: DataFrame, task, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of what ``task`` finds in all texts, ``n`` numbers: of the classes as (table,
     entry, class), of the digits as (.., table, entry, digit)."""
-    parts = texts.mapInArrow(task, "slice int, sums binary").repartition(min(SLICES, partitions(texts.sparkSession)), "slice").mapInArrow(_add(n), "slice int, sums binary").toLocalIterator()
+    spark = texts.sparkSession
+    parts = texts.rdd.getNumPartitions()
+    tasks = max(min(parts, 2 * spark.sparkContext.defaultParallelism), -(-parts // GROUP))
+    sums, slices = texts.coalesce(tasks).mapInArrow(task, _SUMS), min(SLICES, partitions(spark))
+    if tasks > FAN:
+        sums = sums.repartition(slices * -(-tasks // FAN), "slice", "part").mapInArrow(_add(n), _SUMS)
     out = np.zeros(n)
     cuts = np.array_split(np.arange(n), SLICES)
-    for k, x in parts:
-        out[cuts[k]] = np.frombuffer(x)
+    for k, _, x in sums.repartition(slices, "slice").mapInArrow(_add(n), _SUMS).toLocalIterator():
+        out[cuts[k]] = unsqueeze(bytes(x), 4 * len(cuts[k])).view(np.float32)
     return out[:CLASS_SIZE].reshape(TABLES, 1 << TABLE_BITS, CLASSES), out[CLASS_SIZE:].reshape(-1, TABLES, 1 << DIGIT_BITS, DIGITS)
 
 
@@ -237,18 +249,13 @@ def trained(texts: DataFrame, mass: np.ndarray, updates: int = UPDATES) -> tuple
     """The priors of the digits, the class model and the models of the digits (see
     factors_of: table, entry, outcome), from rows (text) and the mass of the leaves."""
     prior = priors(mass)
-    held = texts.sparkSession.sparkContext.broadcast(prior)
-    observed, digits = summed(texts, _observe(held), CLASS_SIZE + 2 * DEPTH * DIGIT_SIZE)
-    held.unpersist()
-    seen, first = digits[:DEPTH], digits[DEPTH:]
+    observed, seen = summed(texts, _observe, CLASS_SIZE + DEPTH * DIGIT_SIZE)
     share = observed[0].sum(axis=0) + 0.5
     share /= share.sum()
     bias = np.log(share)
     rows = observed.sum(axis=2, keepdims=True)
     weights = np.log((observed + PRIOR * share) / ((rows + PRIOR) * share)) * SHARE
-    rows = seen.sum(axis=3, keepdims=True)
-    usual = np.where(first > 0, first / np.maximum(rows, 1), 1 / DIGITS)
-    inner = np.log((seen + DIGIT_PRIOR * usual) / ((rows + DIGIT_PRIOR) * usual)) * SHARE
+    inner = np.zeros_like(seen)
 
     def model():
         return prior, factors_of(weights, bias), [factors_of(x, np.zeros(DIGITS)) for x in inner]
@@ -257,7 +264,7 @@ def trained(texts: DataFrame, mass: np.ndarray, updates: int = UPDATES) -> tuple
         held = texts.sparkSession.sparkContext.broadcast(model())
         expected, digits = summed(texts, _expect(held), CLASS_SIZE + DEPTH * DIGIT_SIZE)
         weights += RATE * (observed - expected) / ((observed + expected) / 2 + DAMP)
-        inner += RATE * (seen - digits) / ((seen + digits) / 2 + DIGIT_DAMP)
+        inner += DIGIT_RATE * (seen - digits) / ((seen + digits) / 2 + DIGIT_DAMP)
         held.unpersist()
     return model()
 
@@ -280,7 +287,8 @@ def _send(buckets: int):
         for b in blocks(batches, limit=MAP_BYTES):
             ids, train, texts = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
             data, offsets = flat(texts, lower=True)
-            chunk = xxhash.xxh64_intdigest(data.tobytes(), xxhash.xxh64_intdigest(ids.tobytes(), b.column(3)[0].as_py() & 0xFFFFFFFF)) >> 1
+            # The place of a block's first row is its own, whatever repeats in the table.
+            chunk = b.column(3)[0].as_py()
             words = Words(data, offsets)
             coded = words.binary().dictionary_encode()
             number, distinct = coded.indices.to_numpy(), coded.dictionary
@@ -298,7 +306,7 @@ def _send(buckets: int):
             doc = np.repeat(np.arange(len(ids)), count)
             key = np.sort(doc << 32 | place[number])
             raw = [np.diff(ids, prepend=0).tobytes(), b.column(4).to_numpy().tobytes(), count.astype(np.int32).tobytes(), np.diff(key & 0xFFFFFFFF, prepend=0).astype(np.int32).tobytes()]
-            out = [(chunk, 0, chunk % buckets, [len(ids), len(key)], squeeze(b"".join(raw)))]
+            out = [(chunk, 0, int(mixed(np.array([chunk], np.uint64))[0] % np.uint64(buckets)), [len(ids), len(key)], squeeze(b"".join(raw)))]
             edges = np.flatnonzero(np.concatenate(([True], np.diff(target[order]) != 0, [True]))) if len(order) else [0]
             size = np.diff(at)
             for x, y in zip(edges[:-1], edges[1:], strict=True):

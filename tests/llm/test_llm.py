@@ -360,6 +360,15 @@ def test_scores_by_brute_force(spark, docs, rows):
     assert all(math.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def test_scores_of_a_table_united_with_itself(spark, docs, rows):
+    from pyspark.sql import functions as F
+
+    twice = docs.union(docs).union(docs.limit(3))
+    out = scoring.scored(twice, F.lit(True)).collect()
+    once = {(r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 3)) for r in out}
+    assert len(out) == 2 * len(rows) + 3 and len(once) == len({(d, t) for d, t in rows})
+
+
 def test_classes_sum_to_one():
     t = scoring.Tokens(pa.array(["a b c", None, "d"]))
     assert len(t.classes) == 7 and t.first.tolist() == [0, 4, 5, 7] and t.classes[3] == t.classes[4] == scoring.CLASSES - 1
