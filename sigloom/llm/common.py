@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once.
@@ -53,6 +53,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one struct ``row``, so that no helper column can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as it takes to be new."""
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
+
+
+#: Keys that one of so many rows at least has are hot.
+HOT_SHARE = 1000
+
+
+def with_leads(rows: DataFrame, leads: DataFrame, on: list[str], size: str, spread: list[str]) -> DataFrame:
+    """Left join of ``rows`` to ``leads``, one row for each key ``on`` with its number of
+    ``rows`` in ``size``. Hot keys are fewer than ``HOT_SHARE``, whatever the input, so
+    their leads are broadcast; their rows are spread by a hash of the columns ``spread``
+    over the tasks of the join that serves all other keys. Read twice: ``leads``."""
+    leads = leads.withColumnRenamed(size, "_size")
+    total = leads.agg(F.sum("_size")).first()[0] or 0
+    told = F.struct(*[c for c in leads.columns if c not in (*on, "_size")])
+    hot = leads.where(F.col("_size") * HOT_SHARE > total).select(*on, told.alias("_hot"))
+    cold = leads.where(F.col("_size") * HOT_SHARE <= total).select(F.col(on[0]).alias("_key"), F.lit(False).alias("_is_hot"), *on[1:], told.alias("_cold"))
+    out = rows.join(F.broadcast(hot), on, "left").withColumn("_is_hot", F.col("_hot").isNotNull())
+    out = out.withColumn("_key", F.when(F.col("_is_hot"), F.xxhash64(*spread)).otherwise(F.col(on[0])))
+    out = out.join(cold, ["_key", "_is_hot", *on[1:]], "left").withColumn("_hot", F.coalesce("_hot", "_cold"))
+    return out.select(*rows.columns, "_hot.*")
+
+
 def fold(doc_id, n: int = 5):
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

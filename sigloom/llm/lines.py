@@ -16,12 +16,16 @@ Scale: equal lines are first counted as one. A line can only have a partner if i
 the first or the last half of its words with another; only such lines (a few in a
 hundred) emit variants, which loses none: an edit leaves one half as it was. The least
 partner of a key is an aggregate, so a key that a third of all lines share is never
-gathered, and no pairs are listed within a key.
-
-Empty lines (nothing but spaces) are never judged and stay. A null text has one empty
-line. A null doc_id counts as the smallest id. Rows with one id count as one document
-whose lines are told apart by number only; equal places are not earlier than each other.
-Empty tables give empty results; other columns are not used.
+gathered, and no pairs are listed within a key; where rows meet their key's partner, hot
+keys are split (see common.with_leads). A line's own words are one sorted run, read twice
+whatever their number.
+
+A document is an id with a text; documents come in the order of ids (null first), then of
+a hash of the text, so rows without an id, or of one id with different texts, are judged
+apart. Rows equal in both are one document written twice: their lines stand at equal
+places, which are not earlier than each other. Empty lines (nothing but spaces) are never
+judged and stay. A null text has one empty line. Empty tables give empty results; other
+columns are not used, and ``cleaned`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,21 +33,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import table, written
+from sigloom.llm.common import table, whole, with_leads, written
 
 LEAST_WORDS = 5
-NO_ID = -(1 << 63)
+PLACE = ["id", "th", "line_no"]
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+def documents(docs: DataFrame) -> DataFrame:
+    """row (the whole row), id, th (hash of the text) and lines of each row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(whole(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """id, line_no (from 0), line (trimmed), h and h2 (a 128-bit hash of it)."""
-    rows = docs.select(F.col("_id").alias("id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim("line"))
-    return rows.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
+    """id, th, line_no (from 0), line (trimmed), h and h2 (a 128-bit hash of it) of the
+    lines that are not empty."""
+    rows = documents(docs).select("id", "th", F.posexplode("lines").alias("line_no", "line")).withColumn("line", F.trim("line"))
+    return rows.where("line != ''").withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
 def n_words(line: Column) -> Column:
@@ -63,24 +69,27 @@ def gates(line: Column, n: Column) -> list[Column]:
 
 
 def variants(texts: DataFrame) -> DataFrame:
-    """(key, side, wants, id, line_no, h, h2) for every variant of the lines (id, line_no,
-    h, h2, n, line). Whole lines (side 1) are partners of lines less a word (side 2),
-    lines with a gap at one place (side 0) of each other."""
-    words = texts.select("id", "line_no", "h", "h2", "n", F.posexplode(F.concat(F.split("line", " "), F.array(F.lit(None).cast("string")))).alias("at", "word"))
-    line = Window.partitionBy("h", "h2").orderBy("at")
-    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    """(key, side, wants, id, th, line_no) for every variant of the lines (id, th, line_no,
+    n, line). Whole lines (side 1) are partners of lines less a word (side 2), lines with a
+    gap at one place (side 0) of each other."""
+    words = texts.select(*PLACE, "n", F.posexplode(F.concat(F.split("line", " "), F.array(F.lit(None).cast("string")))).alias("at", "word"))
+    line = Window.partitionBy("th", "line_no").orderBy("at")
+    before, upto, all_ = (line.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0, Window.unboundedFollowing))
+    none = F.lit(0).cast("long")
     lanes = []
     for salt in (0, 1):
         here, moved = (F.when(F.col("word").isNotNull(), F.xxhash64(F.lit(salt), "word", F.col("at") - k)) for k in (0, 1))
-        lanes.append(F.coalesce(F.bit_xor(here).over(before), F.lit(0).cast("long")).bitwiseXOR(F.coalesce(F.bit_xor(moved).over(after), F.lit(0).cast("long"))))
+        # What follows is the whole less what came so far.
+        after = F.coalesce(F.bit_xor(moved).over(all_), none).bitwiseXOR(F.coalesce(F.bit_xor(moved).over(upto), none))
+        lanes.append(F.coalesce(F.bit_xor(here).over(before), none).bitwiseXOR(after))
     rows = words.withColumns({"v": lanes[0], "v2": lanes[1]})
-    whole = F.col("word").isNull()
-    longer = F.when(whole, F.col("n") + 1).otherwise(F.col("n"))
-    gap = F.when(~whole & (F.col("n") >= LEAST_WORDS), F.xxhash64(F.lit("gap"), "n", "at", "v", "v2"))
+    ends = F.col("word").isNull()
+    longer = F.when(ends, F.col("n") + 1).otherwise(F.col("n"))
+    gap = F.when(~ends & (F.col("n") >= LEAST_WORDS), F.xxhash64(F.lit("gap"), "n", "at", "v", "v2"))
     left = F.when(longer >= LEAST_WORDS, F.xxhash64(F.lit("left"), longer, "v", "v2"))
-    side = F.when(whole, 1).otherwise(2)
+    side = F.when(ends, 1).otherwise(2)
     made = F.array(F.struct(gap.alias("key"), F.lit(0).alias("side"), F.lit(0).alias("wants")), F.struct(left.alias("key"), side.alias("side"), (3 - side).alias("wants")))
-    return rows.select(F.explode(made).alias("x"), "id", "line_no", "h", "h2").select("x.*", "id", "line_no", "h", "h2").where("key is not null")
+    return rows.select(F.explode(made).alias("x"), *PLACE).select("x.*", *PLACE).where("key is not null")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -94,46 +103,55 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def keepers(lines: DataFrame) -> DataFrame:
-    """(h, h2, first, keep): the first place of each distinct line, and the earliest place
-    of a line equal to it or within the bound."""
-    full = lines.where("line != ''").withColumn("n", n_words(F.col("line")))
+    """(h, h2, n_rows, keep) of each distinct line that has company: how often it occurs,
+    and the earliest place of a line equal to it or within the bound."""
+    full = lines.withColumn("n", n_words(F.col("line")))
     for k, g in enumerate(gates(F.col("line"), F.col("n"))):
         full = full.withColumn(f"g{k}", g)
-    place = F.struct("id", "line_no")
-    distinct = written(full.groupBy("h", "h2").agg(F.min(place).alias("first"), *[F.min(f"g{k}").alias(f"g{k}") for k in range(4)]))
+    place = F.struct(*PLACE)
+    distinct = written(full.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_rows"), *[F.min(f"g{k}").alias(f"g{k}") for k in range(4)]))
     halves = distinct.select("h", "h2", "first", F.explode(F.array_distinct(F.array(*[f"g{k}" for k in range(4)]))).alias("g")).where("g is not null")
     shared = halves.groupBy("g").count().where("count > 1").select("g")
-    picked = halves.join(shared, "g", "left_semi").select("h", "h2", "first.id", "first.line_no").distinct()
-    texts = written(full.select("id", "line_no", "h", "h2", "n", "line").join(picked, ["id", "line_no", "h", "h2"], "left_semi"))
-    # Two rows with one id and one text give the same place twice.
-    texts = texts.dropDuplicates(["h", "h2"])
+    picked = halves.join(shared, "g", "left_semi").select("h", "h2", *[f"first.{c}" for c in PLACE]).distinct()
+    found = full.select(*PLACE, "h", "h2", "n", "line").alias("l").join(picked.alias("p"), F.expr("l.th = p.th and l.line_no = p.line_no and l.id <=> p.id and l.h = p.h and l.h2 = p.h2"), "left_semi")
+    # A document that is written twice gives its lines twice.
+    texts = written(found.dropDuplicates(["h", "h2"]))
     keys = written(variants(texts))
-    lead = keys.groupBy("key", F.col("side").alias("wants")).agg(F.min(F.struct("id", "line_no", "h", "h2")).alias("lead"))
-    later = F.struct("id", "line_no") > F.struct("lead.id", "lead.line_no")
-    pairs = keys.join(lead, ["key", "wants"]).where(later).select("h", "h2", "lead").distinct()
-    own, other = texts.select("h", "h2", F.col("line").alias("a")), texts.select(F.col("h").alias("k"), F.col("h2").alias("k2"), F.col("line").alias("b"))
-    pairs = pairs.select("h", "h2", "lead", F.col("lead.h").alias("k"), F.col("lead.h2").alias("k2")).join(own, ["h", "h2"]).join(other, ["k", "k2"])
-    near = pairs.where(within_one(F.split("a", " "), F.split("b", " "))).groupBy("h", "h2").agg(F.min(F.struct("lead.id", "lead.line_no")).alias("near"))
-    return distinct.select("h", "h2", "first").join(near, ["h", "h2"], "left").select("h", "h2", "first", F.least("first", F.coalesce("near", "first")).alias("keep"))
+    leads = written(keys.groupBy("key").agg(*[F.min(F.when(F.col("side") == k, place)).alias(f"lead{k}") for k in range(3)], F.count("*").alias("n_rows")).where("n_rows > 1"))
+    pairs = with_leads(keys, leads, ["key"], "n_rows", PLACE).withColumn("lead", F.expr("case wants when 0 then lead0 when 1 then lead1 else lead2 end"))
+    pairs = pairs.where(place > F.col("lead")).select(*PLACE, "lead").distinct().select("lead", F.col("th").alias("t1"), F.col("line_no").alias("k1"), F.col("lead.th").alias("t2"), F.col("lead.line_no").alias("k2"))
+    # The first place of a line names it by its text and line number alone.
+    own = texts.select(F.col("th").alias("t1"), F.col("line_no").alias("k1"), "h", "h2", F.col("line").alias("a"))
+    other = texts.select(F.col("th").alias("t2"), F.col("line_no").alias("k2"), F.col("line").alias("b"))
+    near = pairs.join(own, ["t1", "k1"]).join(other, ["t2", "k2"]).where(within_one(F.split("a", " "), F.split("b", " "))).groupBy("h", "h2").agg(F.min("lead").alias("near"))
+    out = distinct.join(near, ["h", "h2"], "left").where("n_rows > 1 or near is not null")
+    return out.select("h", "h2", "n_rows", F.least("first", F.coalesce("near", "first")).alias("keep"))
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """row (the whole row), id, lines and removed (line numbers from 0, ascending, null for
+    none) of each row of ``docs``."""
+    lines = lines_of(docs)
+    kept = with_leads(lines.select(*PLACE, "h", "h2"), written(keepers(lines)), ["h", "h2"], "n_rows", PLACE)
+    gone = kept.where(F.struct(*PLACE) > F.col("keep")).groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    return documents(docs).alias("d").join(gone.alias("g"), F.expr("d.th = g.th and d.id <=> g.id"), "left").select("d.row", "d.id", "d.lines", "g.removed")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0, ascending), one row a
-    document id."""
-    lines = lines_of(identified(docs))
-    kept = lines.select("id", "line_no", "h", "h2", (F.col("line") != "").alias("judged")).join(keepers(lines), ["h", "h2"], "left")
-    gone = F.col("judged") & (F.struct("id", "line_no") > F.col("keep"))
-    out = kept.groupBy("id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"))
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, ascending), one row for
+    each of ``docs``."""
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    out = removals(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), removed.alias("removed"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its removed lines; a document that loses all has an
     empty text."""
-    gone = identified(removed_lines(docs)).select("_id", "removed")
-    kept = F.filter(F.split(F.col("text"), "\n"), lambda line, k: ~F.array_contains(F.col("removed"), k))
-    text = F.when(F.col("text").isNotNull() & (F.size("removed") > 0), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return identified(docs).join(gone, "_id").withColumn("text", text).select(*docs.columns)
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    text = F.array_join(F.transform(left, lambda k: F.get(F.col("lines"), k)), "\n")
+    out = removals(docs).withColumn("row", F.when(F.col("removed").isNull(), F.col("row")).otherwise(F.col("row").withField("text", text)))
+    return out.select("row.*")
 
 
 def op9_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from sigloom.llm import decontaminate, language, lines, mixing, pii, scoring, sharding, simhash, substrings, vectors
+from sigloom.llm import common, decontaminate, language, lines, mixing, pii, scoring, sharding, simhash, substrings, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -221,6 +221,36 @@ def test_near_lines_by_brute_force(spark):
     assert lines.removed_lines(df.where("false")).isEmpty()
 
 
+def test_lines_of_ids_that_repeat(spark):
+    """Rows without an id or of one id are documents of their own; helper names clash."""
+    line = "this line is here more than once"
+    rows = [(7, f"p\n{line}", 1), (7, "q\nunique content of its own stays", 2), (None, f"{line}\nfirst", 3), (None, f"{line}\nsecond", 4), (8, f"{line}\nthird", 5), (8, f"{line}\nthird", 6), (9, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed long").selectExpr("*", "1 as id", "2 as lines", "3 as row", "'x' as _hot", "4 as h", "5 as th")
+    clean = {r.removed: r.text for r in lines.cleaned(df).collect()}
+    assert lines.cleaned(df).columns == df.columns and len(clean) == 7 and clean[7] is None
+    assert clean[1] == "p" and clean[2] == "q\nunique content of its own stays"
+    assert sorted((clean[3], clean[4])) in (sorted([f"{line}\nfirst", "second"]), sorted(["first", f"{line}\nsecond"]))
+    assert clean[5] == clean[6] == "third"
+    out = lines.removed_lines(df).collect()
+    assert len(out) == 7 and sum(r.n_removed for r in out) == 4 and sum(r.n_lines for r in out) == 13
+
+
+def test_hot_line_and_hot_variant(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 8)
+    rows = [(d, "the same line in every document here\n" + f"number {d} of the lines that differ") for d in range(40)]
+    rows += [(100 + d, f"w{d} x{d} y{d} z{d} q{d}") for d in range(60)]
+    out = {r.doc_id: r.n_removed for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {d: 2 * (0 < d < 40) for d in [*range(40), *range(100, 160)]}
+
+
+def test_lines_of_many_words(spark):
+    """Time must not grow with the square of a line's words."""
+    base = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:30_000] + ["other"] + base[30_001:])), (3, " ".join(base[:500]))]
+    out = {r.doc_id: r.n_removed for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 1, 3: 0}
+
+
 def brute_fitting(item, passage):
     row = [0] * (len(passage) + 1)
     for i, x in enumerate(item, 1):
@@ -257,6 +287,48 @@ def test_decontamination_recall_and_exactness(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and (502, 92) in got
 
 
+def test_decontamination_recall_by_length():
+    """Recall of the plan on items of each length with all edits allowed, the first word's
+    among them; words are drawn from few, so samples meet by chance too."""
+    r = random.Random(8)
+    vocab = [f"v{k}" for k in range(3000)]
+    for n in (5, 6, 8, 13, 24, 48, 70, 150):
+        items = [r.choices(vocab, k=n) for _ in range(60)]
+        docs = []
+        for w in items:
+            w = list(w)
+            for _ in range(n // 5):
+                p = r.randrange(len(w))
+                w[p : p + r.randint(0, 1)] = [r.choice(vocab)] * r.randint(0, 1)
+            docs.append(" ".join(r.choices(vocab, k=30) + w + r.choices(vocab, k=30)))
+        block = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(docs)], names=["doc_id", "text"])
+
+        class Held:
+            value = vars(decontaminate.Items(pa.array(range(60), pa.int64()), pa.array([" ".join(w) for w in items])))
+
+        found = {(d, i) for b in decontaminate._match(Held)(iter([block])) for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert sum((d, d) in found for d in range(60)) >= 58, n
+
+
+def test_fitting_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        item, passages = rng.integers(1, 5, rng.integers(1, 9)).astype(np.uint64), rng.integers(1, 5, (4, 15)).astype(np.uint64)
+        edits, end = decontaminate.fitting(item, passages)
+        for k in range(4):
+            assert edits[k] == brute_fitting(item.tolist(), passages[k].tolist())
+            assert end[k] == next(j for j in range(16) if brute_fitting(item.tolist(), passages[k, :j].tolist()) == edits[k])
+
+
+def test_decontamination_edges(spark):
+    """Items without an id, equal items, an item of one repeated word, clashing names."""
+    items = [(None, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "A b, c d e f g h"), (2, "x x x x x x x x x x"), (3, "")]
+    docs = [(1, "q a b c d X f g h r", 1), (None, "x " * 20_000, 2), (2, "x x x x x x x x", 3), (2, "nothing here", 4)]
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string, key long").selectExpr("*", "1 as row", "2 as item_id")
+    found = decontaminate.matches(docs_df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.item_id, x.edits) for x in found), key=repr) == sorted([(1, None, 1), (1, 1, 1), (1, 1, 1), (None, 2, 0), (2, 2, 2)], key=repr)
+
+
 def test_vectors_recall_and_edges(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 16)).astype(np.float32)
