@@ -10,7 +10,10 @@ spelled out as well) or a spelled-out "at" every token is its own unlabelled seg
 touch a base span. Weights are fitted to the conditional likelihood of generated
 sentences, whose segmentation is known; no text of the corpus is needed.
 
-Scale: one pass over whole texts without a shuffle; memory is one batch.
+Scale: one pass over whole texts without a shuffle. A zone of any length is walked
+``STEP`` tokens at a time, whose candidates' features are dropped once scored: only
+candidates with a positive score, which alone can be in the best segmentation, are kept.
+Features of a segment's shape are worked out once a shape, checksums by running sums.
 
 A null text is empty and has no spans. Repeated rows are judged alike; an empty table
 gives an empty result; other columns are not used.
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -132,81 +136,153 @@ _OCTETS = re.compile(rf"(?i)([0-9]{{1,3}})(?:{_DOT})([0-9]{{1,3}})(?:{_DOT})([0-
 #: Common endings of addresses, fixed values.
 _ENDINGS = re.compile(r"(?i)[^a-z](?:com|org|net|edu|gov|info|io|eu|uk|us|de|fr|es|it|nl|ch)$")
 FEATURES = 31
+#: Columns of the features that a segment's digits decide, not only its shape.
+_LUHN, _SMALL, _GLUED, _CLOSE, _BEFORE = 10, 13, 23, 24, 27
+#: The patterns above name digits (0 and 1) only where a segment begins.
+_HEAD, _TAIL = str.maketrans("23456789", "2" * 8), str.maketrans("0123456789", "2" * 10)
+#: Tokens whose candidates are scored at once, and segment shapes that are remembered.
+STEP, SHAPES = 1024, 1 << 14
 
 
-def features(text: str, a: int, b: int) -> list[float]:
-    """Of the whole segment text[a:b]."""
-    s = text[a:b]
-    digits = "".join(c for c in s if "0" <= c <= "9")
-    n, letters = len(digits), sum(c.isalpha() for c in s)
-    octets = _OCTETS.match(s)
-    before = text[max(0, a - 24) : a]
-    glued = (a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_#$€£")) or (b < len(text) and (text[b].isalnum() or text[b] in "_%"))
-    close = (a > 1 and text[a - 1] in ".,/-" and text[a - 2].isdigit()) or (b + 1 < len(text) and text[b] in ".,/-" and text[b + 1].isdigit())
+def shape_features(s: str) -> list[float]:
+    """Features of a segment that hold for all segments of its shape."""
+    n, letters = sum("0" <= c <= "9" for c in s), sum(c.isalpha() for c in s)
     f = [1.0, n < 7, 7 <= n <= 9, n == 10, n == 11, 12 <= n <= 13, 14 <= n <= 15, n == 16, 17 <= n <= 19, n > 19]
-    f += [13 <= n <= 19 and luhn(digits), bool(_CARD_SHAPE.match(s)), bool(octets), bool(octets) and all(map(small, octets.groups()))]
+    f += [False, bool(_CARD_SHAPE.match(s)), bool(_OCTETS.match(s)), False]
     f += [bool(_NATIONAL.match(s)), bool(_GROUPED.match(s)) and 9 <= n <= 13, s[0] == "+", s[:1] == "(" or s[:2] == "+(", bool(_DATE.match(s)), s.isdigit()]
-    f += [bool(_ADDRESS.match(s)), bool(_ADDRESS.match(s) and _ENDINGS.search(s)), letters > 0, glued, close, s[-1].isalnum(), s.count("(") != s.count(")")]
-    f += [bool(c.search(before)) for c in _CUES]
-    return [float(x) for x in f]
+    f += [bool(_ADDRESS.match(s)), bool(_ADDRESS.match(s) and _ENDINGS.search(s)), letters > 0, False, False, s[-1].isalnum(), s.count("(") != s.count(")")]
+    return [float(x) for x in f] + [0.0] * len(_CUES)
 
 
 class Zone:
-    """Tokens of a zone and the features of its candidate segments."""
+    """Tokens of a zone, and the features of its candidate segments, some starts at once.
+    ``taken``: base spans, which no segment may touch."""
 
     def __init__(self, text: str, a: int, b: int, taken: list[tuple[int, int, int]] = ()):
-        self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
-        self.pairs, rows = [], []
-        for i, (x, _) in enumerate(self.tokens):
-            for j in range(i, min(len(self.tokens), i + LONGEST)):
-                y = self.tokens[j][1]
-                if y - x >= 7 and not any(x < e and s < y for s, _, e in taken):
-                    self.pairs.append((i, j + 1))
-                    rows.append(features(text, x, y))
-        self.rows = np.array(rows).reshape(-1, FEATURES)
+        self.text = text
+        tokens = np.fromiter((x for m in _TOKEN.finditer(text, a, b) for x in m.span()), dtype=np.int64).reshape(-1, 2)
+        self.start, self.end = tokens[:, 0], tokens[:, 1]
+        self.a, part = a, text[a:b]
+        self.head, self.tail = part.translate(_HEAD), part.translate(_TAIL)
+        # Digits in front of each place, and checksums of all digits up to there, one for
+        # each parity of the last digit's place.
+        values = np.fromiter((ord(c) - 48 if "0" <= c <= "9" else -1 for c in part), dtype=np.int8, count=len(part))
+        digits = values[values >= 0]
+        self.before = np.concatenate(([0], np.cumsum(values >= 0, dtype=np.int32)))
+        doubled = 2 * digits - 9 * (digits > 4)
+        even = np.arange(len(digits)) % 2 == 0
+        self.sums = [np.concatenate(([0], np.cumsum(np.where(even == bool(last), doubled, digits), dtype=np.int32))) for last in (0, 1)]
+        union: list[list[int]] = []
+        for x, _, y in sorted(taken):
+            if union and x < union[-1][1]:
+                union[-1][1] = max(union[-1][1], y)
+            else:
+                union.append([x, y])
+        self.opens, self.closes = (np.array([u[k] for u in union], dtype=np.int64) for k in (0, 1))
+        self.seen: dict[str, int] = {}
+        self.known: list[list[float]] = []
+
+    def candidates(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token, token after the last, and features of the candidates that begin
+        at tokens lo:hi."""
+        n = len(self.start)
+        i = np.repeat(np.arange(lo, hi), LONGEST)
+        j = i + np.tile(np.arange(LONGEST), hi - lo)
+        i, j = i[j < n], j[j < n]
+        x, y = self.start[i], self.end[j]
+        free = (y - x >= 7) & (np.searchsorted(self.closes, x, side="right") == np.searchsorted(self.opens, y))
+        i, j, x, y = i[free], j[free], x[free], y[free]
+        head, tail, seen, at = self.head, self.tail, self.seen, []
+        for p, q in zip((x - self.a).tolist(), (y - self.a).tolist(), strict=True):
+            s = head[p : p + 2] + tail[p + 2 : q]
+            k = seen.get(s)
+            if k is None:
+                k = seen[s] = len(self.known)
+                self.known.append(shape_features(s))
+            at.append(k)
+        rows = np.array(self.known).reshape(-1, FEATURES)[at]
+        if len(seen) > SHAPES:
+            self.seen, self.known = {}, []
+        p, q = self.before[x - self.a], self.before[y - self.a]
+        total = np.where((q - 1) % 2 == 0, self.sums[0][q] - self.sums[0][p], self.sums[1][q] - self.sums[1][p])
+        rows[:, _LUHN] = (q - p >= 13) & (q - p <= 19) & (total % 10 == 0)
+        for k in np.flatnonzero(rows[:, _SMALL - 1]).tolist():
+            rows[k, _SMALL] = all(map(small, _OCTETS.match(self.text[x[k] : y[k]]).groups()))
+        self.context(rows, i, j)
+        return i, j + 1, rows
+
+    def context(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """Features of what stands before the first token and after the last."""
+        text = self.text
+        for own, side in ((i, 0), (j, 1)):
+            for t in np.unique(own).tolist():
+                x, y = int(self.start[t]), int(self.end[t])
+                if side:
+                    glued = y < len(text) and (text[y].isalnum() or text[y] in "_%")
+                    close = y + 1 < len(text) and text[y] in ".,/-" and text[y + 1].isdigit()
+                    cues = []
+                else:
+                    glued = x > 0 and (text[x - 1].isalnum() or text[x - 1] in "_#$€£")
+                    close = x > 1 and text[x - 1] in ".,/-" and text[x - 2].isdigit()
+                    words = text[max(0, x - 24) : x]
+                    cues = [k for k, c in enumerate(_CUES) if c.search(words)] if any(c.isalpha() for c in words) else []
+                if glued or close or cues:
+                    mine = slice(*np.searchsorted(own, [t, t + 1])) if not side else np.flatnonzero(own == t)
+                    rows[mine, _GLUED] = np.maximum(rows[mine, _GLUED], glued)
+                    rows[mine, _CLOSE] = np.maximum(rows[mine, _CLOSE], close)
+                    for k in cues:
+                        rows[mine, _BEFORE + k] = 1.0
+
+    def all(self) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """All candidates of a short zone."""
+        i, j, rows = self.candidates(0, len(self.start))
+        return list(zip(i.tolist(), j.tolist(), strict=True)), rows
 
 
 def best_segments(zone: Zone, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the labelled segments of the best segmentation. An
-    unlabelled token scores 0."""
-    n = len(zone.tokens)
-    scores = zone.rows @ weights
-    best, back = [0.0] + [-1e18] * n, [None] * (n + 1)
-    ending = [[] for _ in range(n + 1)]
-    for at, (_, j) in enumerate(zone.pairs):
-        ending[j].append(at)
+    unlabelled token scores 0, so a segment that scores no more is never part of it."""
+    n = len(zone.start)
+    ending: dict[int, list[tuple[int, int, float]]] = {}
+    for lo in range(0, n, STEP):
+        i, j, rows = zone.candidates(lo, min(lo + STEP, n))
+        scores = rows @ weights
+        kind = scores.argmax(axis=1) if len(scores) else np.zeros(0, int)
+        score = scores[np.arange(len(kind)), kind]
+        for k in np.flatnonzero(score > 0).tolist():
+            ending.setdefault(int(j[k]), []).append((int(i[k]), int(kind[k]), float(score[k])))
+    best, back = np.zeros(n + 1), {}
     for j in range(1, n + 1):
         best[j] = best[j - 1]
-        for at in ending[j]:
-            i, k = zone.pairs[at][0], int(scores[at].argmax())
-            if best[i] + scores[at, k] > best[j]:
-                best[j], back[j] = best[i] + scores[at, k], (i, k)
+        for i, k, score in ending.get(j, ()):
+            if best[i] + score > best[j]:
+                best[j], back[j] = best[i] + score, (i, k)
     out, j = [], n
     while j:
-        if back[j] is None:
+        if j not in back:
             j -= 1
         else:
             i, k = back[j]
-            out.append((zone.tokens[i][0], k, zone.tokens[j - 1][1]))
+            out.append((int(zone.start[i]), k, int(zone.end[j - 1])))
             j = i
     return out[::-1]
 
 
-def expectations(zone: Zone, weights: np.ndarray) -> np.ndarray:
-    """The probability of each candidate segment and type, by forward-backward."""
-    n, scores = len(zone.tokens), zone.rows @ weights
+def expectations(n: int, pairs: list[tuple[int, int]], scores: np.ndarray) -> np.ndarray:
+    """The probability of each candidate segment and type of ``n`` tokens, by
+    forward-backward."""
     forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
     forward[0] = backward[n] = 0.0
     mass = np.logaddexp.reduce(scores, axis=1)
     ending, opening = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-    for at, (i, j) in enumerate(zone.pairs):
+    for at, (i, j) in enumerate(pairs):
         ending[j].append((i, mass[at]))
         opening[i].append((j, mass[at]))
     for j in range(1, n + 1):
         forward[j] = np.logaddexp.reduce([forward[j - 1], *[forward[i] + m for i, m in ending[j]]])
     for i in range(n - 1, -1, -1):
         backward[i] = np.logaddexp.reduce([backward[i + 1], *[backward[j] + m for j, m in opening[i]]])
-    i, j = np.array(zone.pairs).T
+    i, j = np.array(pairs).T
     return np.exp(scores + (forward[i] + backward[j] - forward[n])[:, None])
 
 
@@ -260,21 +336,22 @@ def weights(n: int = 1200, epochs: int = 12) -> np.ndarray:
     for text, span in generated(n):
         for a, b in zones(text):
             z = Zone(text, a, b, base_spans(text))
-            if not z.pairs:
+            pairs, rows = z.all()
+            if not pairs:
                 continue
-            truth = np.zeros((len(z.pairs), len(KINDS)))
-            for at, (i, j) in enumerate(z.pairs):
-                if span and (z.tokens[i][0], z.tokens[j - 1][1]) == (span[0], span[2]):
+            truth = np.zeros((len(pairs), len(KINDS)))
+            for at, (i, j) in enumerate(pairs):
+                if span and (int(z.start[i]), int(z.end[j - 1])) == (span[0], span[2]):
                     truth[at, span[1]] = 1
-            cases.append((z, truth))
+            cases.append((len(z.start), pairs, rows, truth))
     w = np.zeros((FEATURES, len(KINDS)))
     w[0] = -4.0
     squares = np.full_like(w, 1.0)
     order = random.Random(3)
     for _ in range(epochs):
         order.shuffle(cases)
-        for z, truth in cases:
-            g = z.rows.T @ (truth - expectations(z, w)) - 1e-4 * w
+        for n_tokens, pairs, rows, truth in cases:
+            g = rows.T @ (truth - expectations(n_tokens, pairs, rows @ w)) - 1e-4 * w
             squares += g * g
             w += 0.5 * g / np.sqrt(squares)
     return w
@@ -284,13 +361,13 @@ def all_spans(text: str, w: np.ndarray) -> tuple[list[tuple[int, int, int]], lis
     """Base spans, and base and added ones together."""
     base = base_spans(text)
     added = []
+    # Base spans of one kind are in order; those of a zone lie between two places.
+    begins, reach = [s[0] for s in base], np.maximum.accumulate([s[2] for s in base]) if base else np.zeros(0, int)
     for a, b in zones(text):
-        near = [s for s in base if s[0] < b and a < s[2]]
+        near = base[int(np.searchsorted(reach, a, side="right")) : bisect_left(begins, b)]
         if any(s[0] <= a and b <= s[2] for s in near):
             continue
-        z = Zone(text, a, b, near)
-        if z.pairs:
-            added += best_segments(z, w)
+        added += best_segments(Zone(text, a, b, near), w)
     return base, sorted(base + added)
 
 

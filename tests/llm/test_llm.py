@@ -188,6 +188,64 @@ def test_no_machine_addresses(item):
     assert pii.all_spans(f"the host {item} answers", pii.weights())[1] == []
 
 
+def brute_features(text, a, b):
+    """Of the segment as it stands, without shapes or running sums."""
+    out = pii.shape_features(text[a:b])
+    digits = re.sub("[^0-9]", "", text[a:b])
+    octets = pii._OCTETS.match(text[a:b])
+    before, after = text[max(0, a - 24) : a], text[b : b + 2]
+    out[10] = float(13 <= len(digits) <= 19 and pii.luhn(digits))
+    out[13] = float(bool(octets) and all(int(x) <= 255 for x in octets.groups()))
+    out[23] = float(before[-1:].isalnum() or before[-1:] in tuple("_#$€£") or after[:1].isalnum() or after[:1] in tuple("_%"))
+    out[24] = float(bool(re.search(r"\d[.,/-]$", before) or re.match(r"[.,/-]\d", after)))
+    out[27:] = [float(bool(c.search(before))) for c in pii._CUES]
+    return out
+
+
+def segmentations(n, pairs):
+    """All sets of segments that do not overlap, as lists of candidates' numbers."""
+    def after(at):
+        yield []
+        for k, (i, j) in enumerate(pairs):
+            if i >= at:
+                for rest in after(j):
+                    yield [k, *rest]
+    return list(after(0))
+
+
+def test_field_by_enumeration():
+    """Features, best segmentation and expectations against all segmentations."""
+    w = pii.weights()
+    rng = np.random.default_rng(2)
+    for text in ["tel 555.123.4567, 12", "x 10[.]0[.]0[.]1 #4111-1111-1111-1111", "1 2 3 4 5 6 7 8 9", "call 00 12 345 678 9012 or", "a at b dot com 7"]:
+        base = pii.base_spans(text)
+        zone = pii.Zone(text, 0, min(len(text), 26), base)
+        pairs, rows = zone.all()
+        assert pairs and all(rows[k].tolist() == brute_features(text, int(zone.start[i]), int(zone.end[j - 1])) for k, (i, j) in enumerate(pairs))
+        assert {(i, j) for i, j in pairs} == {(i, j) for i in range(len(zone.start)) for j in range(i + 1, min(len(zone.start), i + pii.LONGEST) + 1) if zone.end[j - 1] - zone.start[i] >= 7 and not any(zone.start[i] < e and s < zone.end[j - 1] for s, _, e in base)}
+        for weights in (w, rng.normal(size=w.shape)):
+            scores = rows @ weights
+            all_ = segmentations(len(zone.start), pairs)
+            top = max(all_, key=lambda x: sum(scores[k].max() for k in x))
+            assert pii.best_segments(zone, weights) == [(int(zone.start[pairs[k][0]]), int(scores[k].argmax()), int(zone.end[pairs[k][1] - 1])) for k in top]
+            mass = np.zeros_like(scores)
+            z = 0.0
+            for x in all_:
+                p = math.prod(np.exp(scores[k]).sum() for k in x)
+                z += p
+                for k in x:
+                    mass[k] += p * np.exp(scores[k]) / np.exp(scores[k]).sum()
+            assert np.allclose(pii.expectations(len(zone.start), pairs, scores), mass / z, atol=1e-9)
+
+
+def test_long_digit_lines_in_steps(monkeypatch):
+    text = "call " + " ".join(random.Random(1).choices("0123456789", k=4000)) + " 4111.1111.1111.1111 "
+    want = pii.all_spans(text, pii.weights())
+    monkeypatch.setattr(pii, "STEP", 64)
+    monkeypatch.setattr(pii, "SHAPES", 5)
+    assert pii.all_spans(text, pii.weights()) == want and len(want[1]) > 10
+
+
 def test_near_lines_by_brute_force(spark):
     r = random.Random(2)
     vocab = ["a", "b", "c", "dd", "é"]
