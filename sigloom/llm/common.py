@@ -39,14 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again: lineage ends
-    here and survives lost executors. The files go when the driver's JVM ends."""
+    here and survives lost executors. The files go with ``dropped``, or when the driver's
+    JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sigloom-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sigloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._sigloom_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -65,6 +76,12 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def stretch(text: Column, salt: Column, n: int) -> Column:
+    """At most ``n`` characters of a text, from a place that a hash picks."""
+    spare = F.greatest(F.length(text) - n, F.lit(0)) + 1
+    return F.substring(text, (F.pmod(F.xxhash64(salt), spare) + 1).cast("int"), F.lit(n))
+
+
 #: Keys that one of so many rows at least has are hot.
 HOT_SHARE = 1000
 

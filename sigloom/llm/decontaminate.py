@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from sigloom.llm.common import Words, blocks, flat, mixed, run_hashes, table, whole, word_hashes
 
 RATE = 0.2
-SAMPLED, RECALL, MOST_REPEATS = 3, 0.99, 96
+SAMPLED, RECALL, MOST_REPEATS = 3, 0.998, 128
 ITEM_BYTES = 8 << 20
 SHORT, PIECE = 5, 48
 #: Bits of the maps of word pairs, and of the keys after each sample.
@@ -98,7 +98,7 @@ def walked(words: np.ndarray, start: np.ndarray, seed: np.uint64, steps: list[in
 
 
 @cache
-def plan(lo: int, hi: int, trials: int = 300) -> list[tuple[np.uint64, list[int]]]:
+def plan(lo: int, hi: int, trials: int = 500) -> list[tuple[np.uint64, list[int]]]:
     """As many repetitions as find ``RECALL`` of random windows with all edits allowed."""
     rng, room = np.random.default_rng(1), 2 * lo + 2
     a, b = [], []

@@ -7,9 +7,12 @@ keeps its own label. Forward-backward gives each word's posterior; a document's
 is the one with most letters in expectation, its score that share of the letters.
 
 Fitting uses at most about ``SAMPLE_DOCS`` distinct labelled texts a language (those with
-the least hashes, so any size of corpus gives the same sample size). Words first take
-their document's label; after one round a word that the model firmly places elsewhere
-takes that label, which teaches the transitions real switches.
+the least hashes, so any size of corpus gives the same sample size), of a long text a
+stretch of ``STRETCH`` characters, and the ``MOST_LABELS`` languages with most distinct
+texts. Half of the texts stay whole, the other half are spliced: runs of their words in
+random order, so that switches between languages are seen with their truth. Emissions
+and transitions move along the same gradient, observed minus expected by forward-backward.
+After one round a word that the model firmly places elsewhere takes that label.
 
 Scale: one pass over the texts to count and one to pick the sample, then one to
 predict; the model is a few megabytes whatever the input. Chains longer than ``PIECE``
@@ -18,7 +21,7 @@ posterior comes from the piece it is not at the rim of.
 
 A null text, or one without a letter, is ``und`` with score 0; with no labelled text at
 all every text is. Ties go to the label that sorts first. Repeated rows are judged
-alike. Empty tables give empty results; other columns are not used.
+alike. Empty tables give empty results; other columns are carried as they are.
 """
 
 from __future__ import annotations
@@ -29,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sigloom.llm.common import Words, blocks, flat, fold, table, word_hashes
+from sigloom.llm.common import Words, blocks, flat, fold, stretch, table, whole, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE_DOCS = 250
+SAMPLE_DOCS, STRETCH, MOST_LABELS = 250, 20_000, 64
+#: Mean words of a run of spliced text.
+RUN = 12
 TABLE_BITS = 17
 PIECE, OVERLAP = 512, 48
 EPOCHS = 3
@@ -144,7 +150,22 @@ def posteriors(emissions: np.ndarray, turn: np.ndarray, begin: np.ndarray, end:
     return both, word, moves
 
 
+def spliced(doc: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """An order of words, given each word's text, and where chains begin in it (and one
+    more): texts of even numbers as they are, then runs of the others, shuffled."""
+    words = np.arange(len(doc))
+    plain, rest = words[doc % 2 == 0], words[doc % 2 == 1]
+    cut = (rng.random(len(rest)) < 1 / RUN) | np.concatenate(([True], np.diff(doc[rest]) != 0))[: len(rest)]
+    runs = np.split(rest, np.flatnonzero(cut)[1:]) if len(rest) else []
+    rng.shuffle(runs := list(runs))
+    begins = np.flatnonzero(np.concatenate(([True], np.diff(doc[plain]) != 0))[: len(plain)])
+    order = np.concatenate([plain, *runs])
+    return order, np.concatenate((begins, [len(plain)], [len(order)] if len(rest) else [])).astype(np.int64)
+
+
 class Model:
+    """``turn`` holds exponentials of the transition weights."""
+
     def __init__(self, labels: list[str], bits: int = TABLE_BITS):
         self.labels = labels
         self.weights = np.zeros((4, (1 << bits) + 1, len(labels)), dtype=np.float32)
@@ -156,30 +177,35 @@ class Model:
         k = len(self.labels)
         number = {x: i for i, x in enumerate(self.labels)}
         own = np.array([number[x] for x in langs])
-        order = np.random.default_rng(5).permutation(len(own))
-        groups = np.array_split(order, max(1, len(order) // 40))
-        squares = np.full_like(self.weights, 1e-2)
+        rng = np.random.default_rng(5)
+        groups = np.array_split(rng.permutation(len(own)), max(1, len(own) // 40))
+        squares, turn_squares, eye = np.full_like(self.weights, 1e-2), np.full((k, k), 1e-2), np.eye(k, dtype=np.float32)
         for epoch in range(epochs):
-            moved = np.full((k, k), 0.5)
             for group in groups:
                 s = Spelled(texts.take(pa.array(group)))
                 if not len(s.letters):
                     continue
-                doc = np.repeat(own[group], np.diff(s.first))
-                begin, end, _, _ = pieces(s.first, 64, 0)
-                post, word, _ = posteriors(s.emissions(self.weights), self.turn, begin, end)
+                text = np.repeat(np.arange(len(group)), np.diff(s.first))
+                doc = own[group][text]
+                order, chains = spliced(text, rng)
+                begin, end, _, _ = pieces(chains, 64, 0)
+                post, word, moves = posteriors(s.emissions(self.weights)[order], self.turn, begin, end)
                 p = np.empty_like(post)
-                p[word] = post
-                truth = np.eye(k, dtype=np.float32)[doc]
+                p[order[word]] = post
+                truth = eye[doc]
                 if epoch:
                     best = p.argmax(axis=1)
                     firm = (p.max(axis=1) > 0.9) & (best != doc)
-                    truth[firm] = np.eye(k, dtype=np.float32)[best[firm]]
-                    label = truth.argmax(axis=1)
-                    inner = np.ones(len(label), dtype=bool)
-                    inner[s.first[1:][np.diff(s.first) > 0] - 1] = False
-                    inner = np.flatnonzero(inner)
-                    np.add.at(moved, (label[inner], label[inner + 1]), 1)
+                    truth[firm] = eye[best[firm]]
+                label = truth.argmax(axis=1)[order]
+                inner = np.ones(len(label), dtype=bool)
+                inner[end - 1] = False
+                inner = np.flatnonzero(inner)
+                seen = np.bincount(label[inner] * k + label[inner + 1], minlength=k * k).reshape(k, k)
+                g = (seen - moves) / max(1, len(inner))
+                turn_squares += g * g
+                self.turn = np.clip(self.turn * np.exp(0.1 * g / np.sqrt(turn_squares)), 1e-6, 1e6).astype(np.float32)
+                self.turn /= self.turn.max()
                 step = truth - p
                 step[s.letters == 0] = 0
                 spread = np.repeat(step, np.diff(s.at), axis=0)
@@ -189,8 +215,6 @@ class Model:
                     sums[-1] = 0
                     squares[t] += sums * sums
                     self.weights[t] += 0.1 * sums / np.sqrt(squares[t])
-            if epoch:
-                self.turn = (moved / moved.sum(axis=1, keepdims=True)).astype(np.float32)
 
     def shares(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text in each language, in expectation; whether it has any."""
@@ -238,40 +262,38 @@ def fitted(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     rows = labelled.where("lang is not null and length(text) > 0")
     # Copies collapse in the sample, so the share is one of distinct texts.
     distinct = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    counts = {r[0]: r[1] for r in distinct.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
     model = Model(sorted(counts))
     if not counts:
         return model
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample_docs / n))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    sample = picked.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).orderBy("h", "lang").limit(2 * sample_docs * len(counts)).select("text", "lang").toArrow()
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select("lang", F.xxhash64("text").alias("h"), stretch(F.col("text"), F.col("text"), STRETCH).alias("text"))
+    sample = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(2 * sample_docs * len(counts)).select("text", "lang").toArrow()
     model.fit(sample["text"].combine_chunks(), sample["lang"].to_pylist())
     return model
 
 
-def predicted(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """The columns ``keys`` of each row, lang_pred and score; lang, source and doc_id are
-    only passed along."""
-    spark = docs.sparkSession
-    rows = docs.select(F.struct(*keys).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    held = spark.sparkContext.broadcast((model.labels, model.weights, model.turn))
+def predicted(docs: DataFrame, model: Model) -> DataFrame:
+    """row (the whole row), lang_pred and score; lang, source and doc_id are only passed
+    along."""
+    rows = docs.select(whole(docs), F.col("text").cast("string").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.turn))
 
     def run(batches):
         there = Model([])
         there.labels, there.weights, there.turn = held.value
         yield from _predict(there)(batches)
 
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op8_word_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD_OUT)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     model = fitted(docs.where("not held_out").select("text", "lang"))
-    return predicted(docs, model, ["doc_id", "held_out"])
+    return predicted(docs.drop("lang"), model).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language holds ``LEAST_SHARE``, go."""
-    judged = predicted(docs, fitted(docs.select("text", "lang")), docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    judged = predicted(docs, fitted(docs.select("text", "lang")))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")

@@ -2,14 +2,22 @@
 
 A classifier learned from the labelled table gives each document posteriors over the
 domains (combinations of the labels). Rates r >= 0 are fitted so that expected domain
-token totals, the sums of r * tokens * posterior, match targets: projected gradient
-steps on least squares, each residual relative to what its domain has and weighted by
-that. In this scaling the step is 1: with p a document's posteriors and g the relative
-residuals, r becomes max(0, r - p . g). Rates start at 1, so all documents with equal
+token totals, the sums of r * tokens * posterior, match targets that are given from
+outside (shares of all tokens, or token totals): projected gradient steps on least
+squares, each residual relative to what its domain has and weighted by that, plus
+``ridge`` times the squared distance of the rates from 1, by tokens, so that one solution
+is best and rates move no more than the targets ask. In this scaling the step is
+1 / (1 + ridge): with p a document's posteriors and g the relative residuals, r becomes
+max(0, (r + ridge - p . g) / (1 + ridge)). Rates start at 1, so all documents with equal
 posteriors keep equal rates.
 
+Targets need not be within reach: membership is soft, so a domain that is to have nothing
+keeps what the posteriors of other domains' documents leave in it. What is reached is
+returned beside each target (``Mix``), and whether the steps had settled.
+
 The classifier is fitted on at most ``SAMPLE`` labelled rows (those with the least hashes
-of their id). Its features are the words, their first bytes, and the endings of words with
+of their id), of a long text on a stretch of ``STRETCH`` characters from a hashed place;
+it judges whole texts. Its features are the words, their first bytes, and the endings of words with
 their punctuation, that tell the domains apart at ``Z`` standard deviations or more; a
 softmax over their presence.
 
@@ -19,30 +27,34 @@ between steps: they follow from the few gradients so far.
 
 A null text has no tokens and the posteriors of an empty text. Labels that are null, or
 of documents that are not there, teach nothing; an id labelled twice counts by its least
-label. Without labels there is one domain, and rates are its target. Repeated rows get
-equal rates. Empty tables give empty results; other columns are not used.
+label. Without labels there is one domain. Repeated rows get equal rates. Empty tables
+give empty results; other columns are carried as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sigloom.llm.common import Words, blocks, flat, mixed, table, word_hashes, written
+from sigloom.llm.common import Words, blocks, flat, mixed, stretch, table, whole, word_hashes, written
 
 SAMPLE = 4000
 TABLE_BITS = 18
 LEADS = (4, 5, 6, 7)
 Z, FEATURES = 5.0, 4096
 STEPS, CLOSE = 40, 1e-4
-#: Of each domain's tokens, how many times over the mix should have them.
-EPOCHS = {"toxic": 0.0, "low": 0.75, "high": 1.25}
-#: The pipeline only takes toxic documents out: a copy more would undo its dedup stage.
-STAGE_EPOCHS = {"toxic": 0.0, "low": 1.0, "high": 1.0}
+STRETCH = 20_000
+#: Shares of all tokens that the mix should have, and how firmly rates stay at 1.
+SHARES, RIDGE = {"toxic": 0.0, "low": 0.4, "high": 0.6}, 0.01
+#: The pipeline takes toxic documents out and leaves the rest: copies would undo its
+#: dedup stage. Its ridge keeps what toxic mass clean documents have from moving them.
+STAGE_RIDGE = 0.2
 #: Documents whose rate is nearer to none than to one copy go.
 LEAST_RATE = 0.5
 
@@ -140,7 +152,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifi
     part = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(1, total)))
     part = part.groupBy("id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("id")).limit(sample)
     # At most ``sample`` rows of two columns: bounded, so it may be broadcast.
-    rows = docs.join(F.broadcast(part), docs.doc_id.cast("long") == part.id).groupBy("id", "domain").agg(F.min("text").alias("text")).where("text is not null").orderBy("id").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(part), F.col("doc_id") == F.col("id")).select("id", "domain", stretch(F.col("text"), F.col("id"), STRETCH).alias("text"))
+    rows = rows.groupBy("id", "domain").agg(F.min("text").alias("text")).where("text is not null").orderBy("id").toArrow()
     names = sorted(set(rows["domain"].to_pylist()))
     out = Classifier(names or ["all"])
     if len(names) > 1:
@@ -148,9 +161,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifi
     return out
 
 
-def with_posteriors(docs: DataFrame, model: Classifier, keys: list[str]) -> DataFrame:
-    """The columns ``keys``, n_tokens, and p (posteriors in the order of the domains)."""
-    rows = docs.select(F.struct(*keys).alias("row"), F.col("text").cast("string").alias("text"))
+def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
+    """row (the whole row), n_tokens, and p (posteriors in the order of the domains)."""
+    rows = docs.select(whole(docs), F.col("text").cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast((model.domains, model.number, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,61 +174,84 @@ def with_posteriors(docs: DataFrame, model: Classifier, keys: list[str]) -> Data
             p = there.posteriors(doc, feature, len(n))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], names=["row", "n_tokens", "p"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, p array<double>").select("row.*", "n_tokens", "p")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]))
+
+
+@dataclass
+class Mix:
+    """What a fit was asked for and what it reached, by domain."""
+
+    domains: list[str]
+    there: np.ndarray
+    target: np.ndarray
+    reached: np.ndarray
+    settled: bool
+    gradients: list[np.ndarray]
+    ridge: float
+
+    def rate(self, p: Column) -> Column:
+        """The rate that follows from the gradients."""
+        rate = F.lit(1.0)
+        for g in self.gradients:
+            moved = sum((F.get(p, F.lit(k)) * float(x) for k, x in enumerate(g)), F.lit(0.0))
+            rate = F.greatest(F.lit(0.0), (rate + self.ridge - moved) / (1.0 + self.ridge))
+        return rate
+
+
+def share_targets(shares: dict[str, float]) -> Callable[[list[str], np.ndarray], np.ndarray]:
+    """Token totals of the shares, scaled to add up to all tokens over the domains there
+    are; a domain that is not named keeps what it has."""
 
+    def aim(domains: list[str], there: np.ndarray) -> np.ndarray:
+        named = np.array([d in shares for d in domains])
+        wanted = np.array([shares.get(d, 0.0) for d in domains])
+        return np.where(named, wanted / max(wanted.sum(), 1e-9) * there[named].sum(), there)
 
-def rate_of(p: Column, gradients: list[np.ndarray]) -> Column:
-    """The rate that follows from the gradients so far."""
-    rate = F.lit(1.0)
-    for g in gradients:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.get(p, F.lit(k)) * float(x) for k, x in enumerate(g)), F.lit(0.0)))
-    return rate
+    return aim
 
 
-def targets(soft: DataFrame, epochs: list[float]) -> np.ndarray:
-    """Token totals to aim at: what the domains would have if each document were taken as
-    often as its domains are on average. Membership is soft, so a domain that is not
-    wanted keeps what the posteriors of other domains' documents leave in it, and rates
-    that meet all totals at once exist."""
-    k = len(epochs)
-    found = soft.agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(a)) * F.get("p", F.lit(b))) for a in range(k) for b in range(k)]).first()
-    return np.array([x or 0.0 for x in found]).reshape(k, k).T @ np.array(epochs)
+def without(domain: str) -> Callable[[list[str], np.ndarray], np.ndarray]:
+    """Nothing of one domain, the others as they are."""
+    return lambda domains, there: np.where([d == domain for d in domains], 0.0, there)
 
 
-def fit_rates(soft: DataFrame, target: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the projected steps for a table (n_tokens, p) and token totals."""
-    k = len(target)
+def fit_rates(soft: DataFrame, domains: list[str], aim: Callable[[list[str], np.ndarray], np.ndarray], ridge: float = RIDGE) -> Mix:
+    """Projected gradient steps for a table (n_tokens, p) and the targets that ``aim``
+    makes of the domains and their totals."""
+    k = len(domains)
 
     def totals(rate: Column) -> np.ndarray:
         found = soft.agg(*[F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(c))) for c in range(k)]).first()
         return np.array([x or 0.0 for x in found])
 
-    there, gradients = totals(F.lit(1.0)), []
-    now = there
-    for _ in range(STEPS):
+    there = totals(F.lit(1.0))
+    mix = Mix(domains, there, np.asarray(aim(domains, there), dtype=float), there, False, [], ridge)
+    while True:
         # A domain with no tokens at all cannot be matched and is left alone.
-        g = np.where(there > 0, (now - target) / np.maximum(there, 1e-9), 0.0)
-        if len(gradients) and np.abs(g - gradients[-1]).max() < CLOSE or np.abs(g).max() < CLOSE:
-            break
-        gradients.append(g)
-        now = totals(rate_of(F.col("p"), gradients))
-    return gradients
+        g = np.where(there > 0, (mix.reached - mix.target) / np.maximum(there, 1e-9), 0.0)
+        mix.settled = bool(np.abs(g - (mix.gradients[-1] if mix.gradients else 0.0)).max() < CLOSE)
+        if mix.settled or len(mix.gradients) == STEPS:
+            return mix
+        mix.gradients.append(g)
+        mix.reached = totals(mix.rate(F.col("p")))
 
 
-def rated(docs: DataFrame, labels: DataFrame, keys: list[str], epochs: dict[str, float]) -> DataFrame:
-    """The columns ``keys``, n_tokens, domain (the likeliest), p, rate."""
+def rated(docs: DataFrame, labels: DataFrame, aim: Callable[[list[str], np.ndarray], np.ndarray], ridge: float = RIDGE) -> tuple[DataFrame, Mix]:
+    """row, n_tokens, domain (the likeliest), p, rate of each row, and how the mix fits."""
     model = fitted(docs, labels)
-    soft = written(with_posteriors(docs, model, keys))
-    gradients = fit_rates(soft, targets(soft, [epochs.get(d, 1.0) for d in model.domains]))
+    soft = written(with_posteriors(docs, model))
+    mix = fit_rates(soft, model.domains, aim, ridge)
     domain = F.get(F.array(*[F.lit(d) for d in model.domains]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    return soft.select(*keys, "n_tokens", domain.alias("domain"), "p", rate_of(F.col("p"), gradients).alias("rate"))
+    return soft.select("row", "n_tokens", domain.alias("domain"), "p", mix.rate(F.col("p")).alias("rate")), mix
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"], EPOCHS)
+    out, mix = rated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), share_targets(SHARES))
+    by_domain = [F.create_map(*[F.lit(v) for d, x in zip(mix.domains, side.tolist(), strict=True) for v in (d, x)])[F.col("domain")] for side in (mix.target, mix.reached)]
+    return out.select("row.doc_id", "n_tokens", "domain", "p", "rate", by_domain[0].alias("domain_target"), by_domain[1].alias("domain_reached"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One epoch of the mix: documents whose rate is below ``LEAST_RATE`` go."""
-    out = rated(docs, table(spark, sf_dir, "labels"), docs.columns, STAGE_EPOCHS)
-    return out.where(F.col("rate") >= LEAST_RATE).select(*docs.columns)
+    """The mix without toxic documents: those whose rate is below ``LEAST_RATE`` go."""
+    out, _ = rated(docs, table(spark, sf_dir, "labels"), without("toxic"), STAGE_RIDGE)
+    return out.where(F.col("rate") >= LEAST_RATE).select("row.*")

@@ -234,7 +234,7 @@ def summed(texts: DataFrame, task, n: int) -> tuple[np.ndarray, np.ndarray]:
     entry, class), of the digits as (.., table, entry, digit)."""
     spark = texts.sparkSession
     parts = texts.rdd.getNumPartitions()
-    tasks = max(min(parts, 2 * spark.sparkContext.defaultParallelism), -(-parts // GROUP))
+    tasks = max(1, min(parts, 2 * spark.sparkContext.defaultParallelism), -(-parts // GROUP))
     sums, slices = texts.coalesce(tasks).mapInArrow(task, _SUMS), min(SLICES, partitions(spark))
     if tasks > FAN:
         sums = sums.repartition(slices * -(-tasks // FAN), "slice", "part").mapInArrow(_add(n), _SUMS)

@@ -1,29 +1,33 @@
 """Hilbert-curve sharding, native: DataFrame functions only.
 
-Each metadata dimension becomes a number (texts by their first six bytes, which
-keeps their order), is quantised into cells of near equal counts, and the cells'
-place on a Hilbert curve is the sort key. Shards are runs of that order, so a
-file's minimum and maximum are tight in every dimension at once.
-
-Scale: one pass for the cells' borders (a few dozen numbers reach the driver), one
-range-partitioned sort whose tie-breakers split any hot cell, and counts by
-partition. No group is gathered anywhere.
-
-Nulls: a null dimension sorts in the first cell, a null text has size 16. Repeated
-rows and ties are ordered by id, checksum and size; equal rows are interchangeable.
-An empty table gives an empty result. Columns whose names begin with ``_hc_`` are
-taken by the operator and must not exist in the input.
+Each metadata dimension is quantised: a value's cell is the share of rows with smaller
+values, in ``2**bits`` steps, so cells hold near equal counts whatever the type, and texts
+count whole, however long the beginning they share. The cells' place on a Hilbert curve is
+the sort key. Shards are runs of that order, so a file's minimum and maximum are tight in
+every dimension at once.
+
+Scale: one count of the dimensions' distinct values, added up over a range-partitioned
+sort, gives the cells' borders (a few dozen values reach the driver); then one
+range-partitioned sort whose tie-breakers split any hot cell, and counts by partition. No
+group is gathered anywhere. The sorted rows are written once to the shared folder, as
+their numbers must hold when a task runs again.
+
+Nulls: a null dimension sorts in the first cell and is not counted, a null text has size
+16. NaN sorts last. Repeated rows and ties are ordered by id, checksum and size; equal
+rows are interchangeable. An empty table gives an empty result. All columns of the input
+are carried as they are; where it has a ``shard`` or ``slot`` of its own, the new one is
+named with an underscore after it.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import table, written
+from sigloom.llm.common import free_name, table, whole, written
 
 N_SHARDS = 40
 #: Bits a dimension; with three dimensions 2**18 cells.
@@ -81,37 +85,64 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("s")), step)["h"]
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A dimension as a double that keeps its order; texts by their first 6 bytes
-    (exact in a double), null as null."""
-    kind = df.schema[name].dataType
-    col = df[name]
-    if isinstance(kind, T.NumericType | T.BooleanType):
-        return col.cast("double")
+def comparable(col: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A dimension as a number and as a text, one of them null; order is kept. All that is
+    no number, truth or time is ordered as text."""
+    none = F.lit(None)
     if isinstance(kind, T.DateType | T.TimestampType):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    return F.conv(F.rpad(F.hex(F.substring(col.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
-def below(x: Column, cuts: list[float]) -> Column:
-    """How many of the cuts are at most ``x``."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= x)) if cuts else F.lit(0)
-
-
-def ordered(df: DataFrame, dims: list[str], ties: list[str], bits: int = BITS) -> DataFrame:
-    """``df`` with ``_hc_index`` and ``_hc_rank``, its place from 0 in the order of the
-    curve, then of ``ties``. Written to the shared folder on the way."""
-    df = df.withColumns({f"_hc_{k}": as_number(df, d) for k, d in enumerate(dims)})
-    inner = [i / (1 << bits) for i in range(1, 1 << bits)]
-    borders = df.agg(*[F.percentile_approx(f"_hc_{k}", inner, 10_000).alias(f"b{k}") for k in range(len(dims))]).first()
-    cells = []
-    for k in range(len(dims)):
-        cuts = sorted(set(borders[k] or []))
-        x = F.col(f"_hc_{k}")
-        cells.append(F.when(x.isNotNull(), below(x, cuts)).otherwise(F.lit(0)))
-    keyed = df.withColumn("_hc_index", hilbert_index(cells, bits)).drop(*[f"_hc_{k}" for k in range(len(dims))])
-    kept = written(keyed.orderBy("_hc_index", *ties).withColumn("_hc_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_hc_id", 33)
+        col, kind = F.unix_micros(col.cast("timestamp")), T.LongType()
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return col.cast("double"), none.cast("string")
+    return none.cast("double"), col.cast("string")
+
+
+def borders(df: DataFrame, dims: list[str], bits: int = BITS) -> list[list[tuple[object, int]]]:
+    """Of each dimension, columns (number, text) of ``df``: the least value of each cell
+    that is not empty, and the cell."""
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"{d}.x").alias("x"), F.col(f"{d}.s").alias("s")) for k, d in enumerate(dims)])
+    values = df.select(F.explode(each).alias("v")).select("v.*").where("x is not null or s is not null").groupBy("k", "x", "s").agg(F.count("*").alias("n"))
+    values = written(values.orderBy("k", "x", "s").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    # A few numbers for each partition of the sort.
+    before: dict[int, int] = {}
+    offsets, totals = {}, {}
+    for p, k, n in sorted(map(tuple, values.groupBy(part.alias("p"), "k").agg(F.sum("n")).collect())):
+        offsets[p, k] = before.get(k, 0)
+        before[k] = totals[k] = offsets[p, k] + n
+    if not totals:
+        return [[] for _ in dims]
+    start = F.create_map(*[F.lit(x) for (p, k), n in offsets.items() for x in (p * len(dims) + k, n)])
+    total = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, n)])
+    upto = Window.partitionBy("p", "k").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = values.withColumn("p", part).withColumn("below", start[F.col("p") * len(dims) + F.col("k")] + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    cell = F.floor(F.col("below") * F.lit(1 << bits) / total[F.col("k")]).cast("int")
+    least = placed.groupBy("k", cell.alias("cell")).agg(F.min(F.struct("x", "s")).alias("v")).collect()
+    out = [[] for _ in dims]
+    for k, cell, v in sorted(map(tuple, least), key=lambda r: r[:2]):
+        out[k].append((v.x if v.s is None else v.s, cell))
+    return out
+
+
+def cell_of(value: Column, cuts: list[tuple[object, int]]) -> Column:
+    """The cell of a comparable value, 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    number, text = value["x"], value["s"]
+    mine = text if isinstance(cuts[0][0], str) else number
+    last = F.size(F.filter(F.array(*[F.lit(c) for c, _ in cuts]), lambda c: c <= mine)) - 1
+    return F.when(mine.isNull() | (last < 0), 0).otherwise(F.get(F.array(*[F.lit(k) for _, k in cuts]), last))
+
+
+def ordered(df: DataFrame, dims: list[tuple[Column, T.DataType]], ties: list[Column], bits: int = BITS) -> DataFrame:
+    """row (all columns of ``df``), and rank and total: its place from 0 in the order of
+    the curve, then of ``ties``, and the number of rows. Written on the way."""
+    names = [f"d{k}" for k in range(len(dims))]
+    keyed = df.select(whole(df), *[F.struct(*[c.alias(n) for c, n in zip(comparable(col, kind), "xs", strict=True)]).alias(d) for d, (col, kind) in zip(names, dims, strict=True)], *[c.alias(f"t{k}") for k, c in enumerate(ties)])
+    cuts = borders(keyed.select(*names), names, bits)
+    index = hilbert_index([cell_of(F.col(d), c) for d, c in zip(names, cuts, strict=True)], bits)
+    keyed = keyed.withColumn("index", index).orderBy("index", *[f"t{k}" for k in range(len(ties))])
+    kept = written(keyed.select("row", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
     # One number for each partition of the sort, whatever the input's size.
     counts = {r[0]: r[1] for r in kept.groupBy(part.alias("p")).count().collect()}
     starts, total = [], 0
@@ -119,31 +150,39 @@ def ordered(df: DataFrame, dims: list[str], ties: list[str], bits: int = BITS) -
         starts.append(total)
         total += counts.get(p, 0)
     start = F.get(F.array(*[F.lit(x).cast("long") for x in starts or [0]]), part.cast("int"))
-    return kept.withColumns({"_hc_rank": start + F.col("_hc_id").bitwiseAND(F.lit((1 << 33) - 1)), "_hc_total": F.lit(total).cast("long")}).drop("_hc_id")
+    return kept.select("row", (start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"), F.lit(total).cast("long").alias("total"))
 
 
-def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[tuple[Column, T.DataType]], ties: list[Column], n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: runs of the curve's order whose counts are at
     most one apart (fewer rows than shards: the last ones of a run stay empty)."""
-    out = ordered(df, dims, ties, bits)
-    shard = F.expr(f"(_hc_rank * {n_shards}) div greatest(_hc_total, 1L)")
-    out = out.withColumn("shard", shard.cast("int"))
-    return out.withColumn("slot", F.expr(f"_hc_rank - (shard * _hc_total + {n_shards - 1}) div {n_shards}")).drop("_hc_rank", "_hc_total", "_hc_index")
+    out = ordered(df, dims, ties, bits).withColumn("shard", F.expr(f"cast((rank * {n_shards}) div greatest(total, 1L) as int)"))
+    slot = F.expr(f"rank - (shard * total + {n_shards - 1}) div {n_shards}")
+    return out.select("row.*", F.col("shard").alias(free_name("shard", df.columns)), slot.alias(free_name("slot", df.columns)))
+
+
+def size_of(text: Column) -> Column:
+    """UTF-8 bytes plus 16."""
+    return F.coalesce(F.octet_length(text).cast("long"), F.lit(0)) + 16
+
+
+def checksum(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` (UTF-8 bytes plus 16) and ``text_crc32``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text.cast("binary"))})
+def document_shards(docs: DataFrame, size: Column, crc: Column, n_shards: int = N_SHARDS) -> DataFrame:
+    """``docs`` by source, language and size."""
+    dims = [(F.col(c), docs.schema[c].dataType) for c in ("source", "lang")]
+    return hilbert_shards(docs, [*dims, (size, T.LongType())], [F.col("doc_id"), crc, size], n_shards)
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = written(described(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "source", "lang"))
-    out = hilbert_shards(docs, ["source", "lang", "size"], ["doc_id", "text_crc32", "size"])
+    docs = table(spark, sf_dir, "documents")
+    slim = written(docs.select("doc_id", size_of(F.col("text")).alias("size"), checksum(F.col("text")).alias("text_crc32"), "source", "lang"))
+    out = document_shards(slim, F.col("size"), F.col("text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "lang")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: the documents with their shard and slot."""
-    out = hilbert_shards(described(docs), ["source", "lang", "size"], ["doc_id", "text_crc32", "size"])
-    return out.select(*docs.columns, "shard", "slot")
+    return document_shards(docs, size_of(F.col("text")), checksum(F.col("text")))

@@ -11,13 +11,19 @@ of nodes that are already known to be one class is dropped as well: that keeps l
 groups of near copies from costing the square of their size.
 
 Scale: buckets beyond ``BUCKET_ROWS`` are cut into pieces and every two pieces meet in
-a task of their own; a bucket gives at most one link a member (a forest); classes are
-joined by contraction, each round a table in the shared folder. Nothing of size
-reaches the driver.
+a task of their own (distinct fingerprints only; the join that tells a bucket's pieces is
+left to the skew join of adaptive execution); a bucket gives at most one link a member (a
+forest); classes are joined by contraction, each round a table in the shared folder, which
+goes when the next is there. Where rows meet their class, fingerprints of mass copies are
+split (see common.with_leads). Nothing of size reaches the driver.
 
 Nulls: a null text has no words and fingerprint zero, which links like any other. A
 null doc_id takes part but is never a component's id (null if there is no other).
-Repeated rows are copies. Empty tables give empty results; other columns are unused.
+Repeated rows are copies. Rows of one id with different texts are documents of their own.
+Empty tables give empty results; other columns are unused. The stage keeps, of each
+component, the row with the least id, then the least hash of its text; rows without an id
+come last, and of rows that are equal in both the one with the least hash of all columns
+stays.
 """
 
 from __future__ import annotations
@@ -30,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sigloom.llm.common import Words, blocks, flat, partitions, table, written
+from sigloom.llm.common import Words, blocks, dropped, flat, partitions, table, whole, with_leads, written
 
 WIDTH = 4
 MAX_BITS = 4
@@ -73,12 +80,12 @@ def fingerprints_of(texts: pa.Array, width: int = WIDTH) -> np.ndarray:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(b.column(1)).view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints_of(b.column(2)).view(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (its 64 bits as a signed number) of each row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    """doc_id, th (hash of the text) and fp (its 64 bits as a signed number) of each row."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string")).mapInArrow(_fingerprint, "doc_id long, th long, fp long")
 
 
 class Forest:
@@ -227,21 +234,30 @@ def classes(links: DataFrame) -> DataFrame:
         low, own = (F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to")) for c in ("v", "at"))
         up = edges.union(edges.select("v", "u")).groupBy(F.col("u").alias("at")).agg(F.min(low).alias("low"))
         up = written(up.select("at", F.least("low", own)["to"].alias("to")))
+        old = labels, edges, up
         labels = written(labels.join(up, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")))
         ends = edges.join(up, F.col("u") == F.col("at")).select(F.col("to").alias("u"), "v").join(up, F.col("v") == F.col("at")).select("u", F.col("to").alias("v"))
         edges = written(ends.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        dropped(*old[turn == 1 :])
     return labels
 
 
+def clustered(fps: DataFrame) -> DataFrame:
+    """fp, n_rows, component_id (the least id) and keep (no id, least id, th: the row that
+    stands for the component) of each distinct fingerprint of the written rows ``fps``."""
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(best).alias("best"), F.count("*").alias("n_rows")))
+    labels = classes(trie_links(reps.select("fp")))
+    rooted = written(reps.join(labels, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min("best").alias("keep"))
+    return rooted.join(lowest, "root").select("fp", "n_rows", "component_id", "keep")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs``."""
     fps = written(fingerprints(docs))
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    labels = classes(trie_links(reps.select("fp")))
-    rooted = written(reps.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(clustered(fps).drop("keep"))
+    return with_leads(fps, named, ["fp"], "n_rows", ["doc_id", "th"]).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,8 +266,10 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one whose id names it. Rows without an id
-    stay, since no id can stand for them."""
-    keep = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_kept_id")).drop("_kept_id").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each component, see above."""
+    keep = clustered(written(fingerprints(docs))).select("keep").distinct().select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.th").alias("keep_th"))
+    # Copies collapse before they travel; a map, which has no order or hash, counts as its entries.
+    plain = [F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in docs.schema]
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.xxhash64(*plain).alias("h"))
+    rows = rows.groupBy("id", "th").agg(F.min_by("row", "h").alias("row"))
+    return rows.join(keep, F.expr("id <=> keep_id and th = keep_th"), "left_semi").select("row.*")

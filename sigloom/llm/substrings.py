@@ -9,15 +9,20 @@ comparing the words' bytes.
 Scale: every block of a few megabytes first settles its own windows, so of a window
 that is frequent everywhere at most one occurrence a block travels. Strings go in
 compressed blobs, one for each block and bucket; a task streams its buckets one at a
-time, sorted by Spark, and a bucket beyond ``BUCKET_BYTES`` is worked in several passes
-over finer parts of the minimiser. Documents meet their removed ranges in one join.
+time, sorted by Spark. A bucket beyond ``BUCKET_BYTES`` (a hot minimiser, or too few
+partitions) is passed on unread, in blobs: in the next round blobs are settled some at a
+time, which leaves one occurrence of a window for each such lot, and what is left is dealt
+by longer minimisers to many more buckets, in the end by the whole window. So a minimiser
+that many windows share is split by more of their words, and a window that is everywhere
+gets fewer with each round; no task ever holds more than a bucket. Documents meet their
+removed ranges in one join.
 
 Windows are judged on the input. A null text has no words; a document of fewer words
-than a window keeps all. A null doc_id counts as smaller than any other. Rows with the
-same id and text are one document written twice: neither is earlier, so both keep what
-they would keep alone; rows with the same id and different texts are told apart by a
-hash of the text and compared by start. Empty tables give empty results; other columns
-are not used.
+than a window keeps all. A null doc_id counts as smaller than any other (and as -2**63).
+Rows with the same id and text are one document written twice: neither is earlier, so both
+keep what they would keep alone; rows with the same id and different texts are told apart
+by a hash of the text and compared by start. Empty tables give empty results; other
+columns are not used.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import Words, blocks, flat, partitions, run_hashes, run_minima, squeeze, table, unsqueeze, word_hashes
+from sigloom.llm.common import Words, blocks, flat, partitions, run_hashes, run_minima, squeeze, table, unsqueeze, word_hashes, written
 
 WINDOW = 20
 MINIMISER = 3
@@ -37,6 +42,8 @@ MAP_BYTES = 8 << 20
 #: Bytes of packed strings that a task sorts at once.
 BUCKET_BYTES = 24 << 20
 BUCKETS_A_PARTITION = 8
+#: With each round minimisers have so many words more, and there are so many times more buckets.
+LONGER, SPREAD = 6, 16
 NO_ID = -(1 << 63)
 
 
@@ -98,8 +105,63 @@ def _unblob(blob: bytes, size: int, kinds: list[type]) -> list[np.ndarray]:
 
 
 #: Of the two kinds of blob. Ids are stored as differences.
-_STRINGS = [np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint8]
+_STRINGS = [np.int64, np.int32, np.int32, np.int32, np.uint8]
 _RANGES = [np.int64, np.int32, np.int32, np.int32]
+_SENT = "bucket int, kind int, size long, blob binary"
+_SETTLED = "id long, key int, lo int, hi int, size long, blob binary"
+
+
+class Windows:
+    """Windows of packed words: the first word of each, which row of ``ids`` and ``keys``
+    it is of, and its place in the document."""
+
+    def __init__(self, packed, at, window, of, place, ids, keys):
+        self.packed, self.at, self.ids, self.keys = packed, at, ids, keys
+        self.window, self.of, self.place = window, of, place
+
+    @classmethod
+    def of_blobs(cls, blobs: list[tuple[int, bytes]], k: int) -> Windows:
+        parts = [_unblob(blob, size, _STRINGS) for size, blob in blobs]
+        ids, keys, start, count, text = (np.concatenate(x) for x in zip(*[(np.cumsum(p[0]), *p[1:]) for p in parts], strict=True))
+        at = np.concatenate(([0], np.flatnonzero(text == 0x20) + 1))
+        begin = np.cumsum(count + k - 1) - (count + k - 1)
+        of = np.repeat(np.arange(len(count)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        return cls(text, at, begin[of] + nth, of, start[of] + nth, ids, keys)
+
+    def settle(self, k: int) -> tuple[np.ndarray, ...]:
+        """Takes out the windows that occur earlier: (id, key, first, last) of their runs."""
+        gone = removed_windows(self.packed, self.at, self.window, self.ids[self.of], self.place, k)
+        a, b = _runs(self.window[gone], self.of[gone])
+        of, place = self.of[gone], self.place[gone]
+        self.window, self.of, self.place = (x[~gone] for x in (self.window, self.of, self.place))
+        return self.ids[of[a]], self.keys[of[a]], place[a].astype(np.int32), place[b].astype(np.int32)
+
+    def strings(self, k: int, buckets: int, turn: int) -> Iterator[tuple[int, bytes, int]]:
+        """Bucket and blob of the super-k-mers."""
+        width = min(k, MINIMISER + LONGER * turn)
+        least = run_minima(run_hashes(word_hashes(self.packed, self.at, turn), width), k - width + 1)[self.window]
+        a, b = _runs(self.window, self.of, least)
+        target = (least[a] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(target[order]) != 0, [True]))) if len(order) else [0]
+        lo, hi = self.at[self.window[a]], self.at[self.window[b] + k]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            s = order[x:y]
+            size = hi[s] - lo[s]
+            text = self.packed[np.arange(size.sum()) + np.repeat(lo[s] - (np.cumsum(size) - size), size)]
+            of = self.of[a[s]]
+            yield int(target[s[0]]), *_blob([np.diff(self.ids[of], prepend=0), self.keys[of], self.place[a[s]].astype(np.int32), (b[s] - a[s] + 1).astype(np.int32), text])
+
+
+def _sent(windows: Windows, k: int, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
+    ids, keys, lo, hi = windows.settle(k)
+    out = [(bucket, 0, size, blob) for bucket, blob, size in windows.strings(k, buckets, turn)]
+    if len(ids):
+        blob, size = _blob([np.diff(ids, prepend=0), keys, lo, hi])
+        out.append((int(ids[0]) % buckets, 1, size, blob))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "size", "blob"])
 
 
 def _send(k: int, buckets: int):
@@ -114,71 +176,47 @@ def _send(k: int, buckets: int):
             packed, at = words.pack()
             doc = np.repeat(np.arange(len(ids)), np.diff(words.first))
             window = np.flatnonzero(np.arange(len(doc)) + k <= words.first[doc + 1])
-            if not len(window):
-                continue
-            doc = doc[window]
-            start = (window - words.first[doc]).astype(np.int32)
-            gone = removed_windows(packed, at, window, ids[doc], start, k)
-            least = run_minima(run_hashes(word_hashes(packed, at), MINIMISER), k - MINIMISER + 1)[window]
-            out = []
-            a, b = _runs(window[gone], doc[gone])
-            if len(a):
-                d, s = doc[gone], start[gone]
-                out.append((int(ids[0]) % buckets, 1, *_blob([np.diff(ids[d[a]], prepend=0), keys[d[a]], s[a], s[b]])))
-            window, doc, start, least = (x[~gone] for x in (window, doc, start, least))
-            a, b = _runs(window, doc, least)
-            target = (least[a] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            edges = np.flatnonzero(np.concatenate(([True], np.diff(target[order]) != 0, [True])))
-            lo, hi = at[window[a]], at[window[b] + k]
-            part = (least[a] >> np.uint64(48)).astype(np.uint8)
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                s = order[x:y]
-                size = hi[s] - lo[s]
-                text = packed[np.arange(size.sum()) + np.repeat(lo[s] - (np.cumsum(size) - size), size)]
-                d = doc[a[s]]
-                out.append((int(target[s[0]]), 0, *_blob([np.diff(ids[d], prepend=0), keys[d], start[a[s]], (b[s] - a[s] + 1).astype(np.int32), part[s], text])))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[2], pa.binary())], names=["bucket", "kind", "size", "blob"])
+            if len(window):
+                doc = doc[window]
+                yield from _sent(Windows(packed, at, window, doc, (window - words.first[doc]).astype(np.int32), ids, keys), k, buckets, 0)
+
+    return run
+
+
+def _resend(k: int, buckets: int, turn: int):
+    """Blobs (size, blob) of buckets that were too large, two at least in a lot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for size, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if len(held) > 1 and total + size > BUCKET_BYTES:
+                    yield from _sent(Windows.of_blobs(held, k), k, buckets, turn)
+                    held, total = [], 0
+                held.append((size, blob))
+                total += size
+        if held:
+            yield from _sent(Windows.of_blobs(held, k), k, buckets, turn)
 
     return run
 
 
 def _settle(k: int):
     def ranges(ids, keys, lo, hi):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, keys, lo, hi)], names=["id", "key", "lo", "hi"])
+        none = [pa.nulls(len(ids), t) for t in (pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *none], names=["id", "key", "lo", "hi", "size", "blob"])
+
+    def passed(blobs):
+        none = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*none, pa.array([s for s, _ in blobs], pa.int64()), pa.array([b for _, b in blobs], pa.binary())], names=["id", "key", "lo", "hi", "size", "blob"])
 
     def bucket(blobs):
-        passes = -(-sum(size for size, _ in blobs) // BUCKET_BYTES)
-        for p in range(passes):
-            held = [[] for _ in _STRINGS]
-            for size, blob in blobs:
-                ids, keys, start, count, part, text = _unblob(blob, size, _STRINGS)
-                ids = np.cumsum(ids)
-                if passes > 1:
-                    mine = part % passes == p
-                    ends = np.flatnonzero(text == 0x20) + 1
-                    upto = np.cumsum(count + k - 1)
-                    text = text[np.repeat(mine, np.diff(ends[upto - 1], prepend=0))]
-                    ids, keys, start, count = (x[mine] for x in (ids, keys, start, count))
-                for x, y in zip(held, (ids, keys, start, count, part, text), strict=True):
-                    x.append(y)
-            ids, keys, start, count, _, text = (np.concatenate(x) for x in held)
-            if not len(ids):
-                continue
-            at = np.concatenate(([0], np.flatnonzero(text == 0x20) + 1))
-            begin = np.cumsum(count + k - 1) - (count + k - 1)
-            of = np.repeat(np.arange(len(count)), count)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            window, place = begin[of] + nth, start[of] + nth
-            gone = removed_windows(text, at, window, ids[of], place, k)
-            window, of, place = window[gone], of[gone], place[gone]
-            a, b = _runs(window, of)
-            if len(a):
-                yield ranges(ids[of[a]], keys[of[a]], place[a].astype(np.int32), place[b].astype(np.int32))
+        # What one block sent it has settled itself.
+        if len(blobs) > 1:
+            yield ranges(*Windows.of_blobs(blobs, k).settle(k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, total, large = None, [], 0, False
         for batch in batches:
             for target, kind, size, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if kind:
@@ -187,8 +225,13 @@ def _settle(k: int):
                     continue
                 if target != now:
                     yield from bucket(held)
-                    now, held = target, []
+                    now, held, total, large = target, [], 0, False
                 held.append((size, blob))
+                total += size
+                large = large or (total > BUCKET_BYTES and len(held) > 1)
+                if large:
+                    yield passed(held)
+                    held = []
         yield from bucket(held)
 
     return run
@@ -223,8 +266,17 @@ def _kept(k: int):
 def earlier_ranges(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(id, key, lo, hi): starts of the removed windows of a document, as ranges."""
     n = partitions(docs.sparkSession)
-    sent = docs.select("id", "key", "text").mapInArrow(_send(k, n * BUCKETS_A_PARTITION), "bucket int, kind int, size long, blob binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(k), "id long, key int, lo int, hi int")
+    out, turn, buckets = None, 0, n * BUCKETS_A_PARTITION
+    sent = docs.select("id", "key", "text").mapInArrow(_send(k, buckets), _SENT)
+    while True:
+        done = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(k), _SETTLED))
+        ranges = done.where("blob is null").select("id", "key", "lo", "hi")
+        out = ranges if out is None else out.unionByName(ranges)
+        rest = done.where("blob is not null").select("size", "blob")
+        if rest.isEmpty():
+            return out
+        turn, buckets = turn + 1, min(1 << 30, buckets * SPREAD)
+        sent = rest.mapInArrow(_resend(k, buckets, turn), _SENT)
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:

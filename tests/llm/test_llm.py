@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sigloom.llm import common, decontaminate, language, lines, mixing, pii, scoring, sharding, simhash, substrings, vectors
 
@@ -57,6 +58,47 @@ def test_windows_by_brute_force(docs, rows, monkeypatch):
         assert sorted(map(tuple, substrings.remove_repeats(docs).collect())) == sorted(want)
 
 
+def test_hot_minimiser_is_split():
+    """Windows that share one minimiser, and one window that is everywhere, stay within
+    ``BUCKET_BYTES``; the same is found as in one bucket."""
+    r = random.Random(9)
+    k, limit, hot = 20, 6000, "aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp qq rr ss tt uu vv".split()
+    docs = [[f"{c}{r.randrange(9)}" for c in "abcdefghijk"] + hot + [f"z{r.randrange(30)}" for _ in range(20)] for _ in range(120)]
+    texts = [" ".join(w) for w in docs]
+
+    def run(limit):
+        held = substrings.BUCKET_BYTES
+        substrings.BUCKET_BYTES, ranges, turn = limit, set(), 0
+        try:
+            batches = [pa.RecordBatch.from_arrays([pa.array([d]), pa.array([0], pa.int32()), pa.array([t])], names=["id", "key", "text"]) for d, t in enumerate(texts)]
+            sent = list(substrings._send(k, 1)(iter(batches)))
+            while sent:
+                rows = pa.Table.from_batches(sent).sort_by([("bucket", "ascending")]).to_batches()
+                rest = []
+                for b in substrings._settle(k)(iter(rows)):
+                    for i, _, lo, hi, size, blob in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                        if blob is None:
+                            ranges |= {(i, x) for x in range(lo, hi + 1)}
+                        else:
+                            rest.append((size, blob))
+                turn += 1
+                assert turn < 30
+                source = [pa.RecordBatch.from_arrays([pa.array([s for s, _ in rest], pa.int64()), pa.array([b for _, b in rest], pa.binary())], names=["size", "blob"])] if rest else []
+                sent = list(substrings._resend(k, 16**turn, turn)(iter(source)))
+        finally:
+            substrings.BUCKET_BYTES = held
+        return ranges, turn
+
+    first, want = {}, set()
+    for d, w in enumerate(docs):
+        for i in range(len(w) - k + 1):
+            if first.setdefault(tuple(w[i : i + k]), d) != d:
+                want.add((d, i))
+    whole, turns = run(1 << 30)
+    small, rounds = run(limit)
+    assert whole == small == want and turns == 1 and rounds > 2
+
+
 def test_windows_of_ids_that_repeat(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     rows = [(1, a), (1, b), (1, a), (None, b), (2, b)]
@@ -85,6 +127,16 @@ def test_simhash_by_brute_force(docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == docs.columns
 
 
+def test_simhash_stage_on_rows_of_one_id(spark):
+    a, b = "one text of its own with enough words", "another text that is not like the first at all"
+    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (None, b, 4), (None, "a third text without any id here", 5), (2, a, 6), (None, None, 7), (3, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp long").selectExpr("*", "1 as row", "2 as th", "3 as keep", "map('a', fp) as m")
+    out = simhash.stage(spark, df, "")
+    kept = sorted(r.fp for r in out.collect())
+    assert out.columns == df.columns and kept in ([1, 2, 5, 8], [2, 3, 5, 8]) and kept == sorted(r.fp for r in simhash.stage(spark, df.repartition(3), "").collect())
+    assert {(r.doc_id, r.component_id) for r in simhash.components(df).collect()} == {(1, 1), (2, 1), (3, 3), (None, 1), (None, None), (None, 3)}
+
+
 def test_trie_by_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
     for n, groups in ((800, 12), (700, 1)):
@@ -108,17 +160,60 @@ def test_large_buckets_are_cut(spark, monkeypatch):
 
 
 def test_shards(docs, rows):
-    df = sharding.described(docs.drop("size"))
-    out = sharding.hilbert_shards(df, ["source", "lang", "size"], ["doc_id", "text_crc32"], n_shards=7).collect()
-    assert len(out) == len(rows)
+    """Input columns named size, shard and slot are carried; shards are whole and even."""
+    df = docs.selectExpr("*", "7 as shard", "8 as text_crc32", "9 as rank")
+    df = df.union(df.where("doc_id = 3").selectExpr("doc_id", "text", "null", "null", "n_chars", "bucket", "size", "shard", "text_crc32", "rank"))
+    out = sharding.document_shards(df, sharding.size_of(F.col("text")), sharding.checksum(F.col("text")), n_shards=7)
+    assert out.columns == [*df.columns, "shard_", "slot"] and sharding.stage(docs.sparkSession, df, "").columns == out.columns
+    out = out.collect()
+    assert len(out) == len(rows) + 1 and all((r["size"], r["shard"], r["text_crc32"], r["rank"]) == (1.5, 7, 8, 9) for r in out)
     slots = {}
     for r in out:
-        slots.setdefault(r.shard, []).append(r.slot)
+        slots.setdefault(r["shard_"], []).append(r["slot"])
     assert set(slots) <= set(range(7)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     n = [len(slots.get(k, [])) for k in range(7)]
     assert max(n) - min(n) <= 1
-    assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) and r["size"] == len((r.text or "").encode()) + 16 for r in out)
-    assert sharding.hilbert_shards(df.where("false"), ["source", "lang"], ["doc_id"]).isEmpty()
+    assert sharding.stage(docs.sparkSession, df.where("false"), "").isEmpty()
+
+
+def test_order_of_shards_by_brute_force(spark):
+    """Cells from ranks, the curve walked in Python; sources share their first bytes."""
+    r = random.Random(3)
+    rows = [(k, f"https://host.example/{r.choice('abcdefg')}", r.choice(["en", "fr", None]), r.randint(0, 40)) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, size long")
+    out = sharding.document_shards(df, F.col("size"), F.lit(0), n_shards=500).collect()
+    bits = 1 << sharding.BITS
+
+    def cell(k, value):
+        known = [x[k] for x in rows if x[k] is not None]
+        return 0 if value is None else sum(x < value for x in known) * bits // len(known)
+
+    place, following = sharding.curve(3)
+
+    def index(x):
+        cells, state, out = [cell(k, x[k]) for k in (1, 2, 3)], 0, 0
+        for b in reversed(range(sharding.BITS)):
+            at = state * 8 + sum((c >> b & 1) << k for k, c in enumerate(cells))
+            out, state = out << 3 | place[at], following[at]
+        return out
+
+    want = [x[0] for x in sorted(rows, key=lambda x: (index(x), x[0]))]
+    assert [x.doc_id for x in sorted(out, key=lambda x: x.shard)] == want
+
+
+def test_shards_prune_files(spark, tmp_path):
+    """Of 40 files, how many a filter on one dimension must read."""
+    r = random.Random(4)
+    rows = [(k, f"https://host.example/{r.randrange(20):02}", r.choice("defx"), r.randint(0, 10**6)) for k in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, size long")
+    out = sharding.document_shards(df, F.col("size"), F.lit(0)).withColumn("plain", F.floor(F.col("doc_id") / 200))
+
+    def read(by, column, low, high):
+        sides = out.groupBy(by).agg(F.min(column).alias("a"), F.max(column).alias("b"))
+        return sides.where((F.col("b") >= low) & (F.col("a") <= high)).count()
+
+    found = [(read("shard", *f), read("plain", *f)) for f in (("source", "https://host.example/03", "https://host.example/03"), ("lang", "f", "f"), ("size", 500_000, 520_000))]
+    assert all(plain == 40 for _, plain in found) and all(n <= most for (n, _), most in zip(found, (20, 20, 15), strict=True)), found
 
 
 @pytest.mark.parametrize(("n", "bits"), [(2, 4), (3, 3), (4, 2)])
@@ -442,12 +537,25 @@ def test_language(spark):
     rows += [(900, None, "en"), (901, "12 -- !", "en"), (902, "", "fr"), (903, sentence(r, "fr", 3000), None), (904, "中文", None), (905, sentence(r, "fr", 60) + " " + sentence(r, "en", 20), None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "doc_id < 200 as train", "'x' as row")
     model = language.fitted(df.where("train").select("text", "lang"))
-    out = {r.doc_id: r for r in language.predicted(df, model, ["doc_id", "lang"]).collect()}
+    out = {r.doc_id: r for r in language.predicted(df, model).select("row.*", "lang_pred", "score").collect()}
     assert sum(out[k].lang_pred == out[k].lang for k in range(200, 300)) >= 97
     assert [out[k].lang_pred for k in (900, 901, 902, 903, 905)] == ["und", "und", "und", "fr", "fr"]
     assert out[904].lang_pred in SYLLABLES and all(0 <= x.score <= 1 for x in out.values()) and 0.5 < out[905].score < 0.95
     none = language.fitted(df.where("false").select("text", "lang"))
-    assert {x.lang_pred for x in language.predicted(df, none, ["doc_id"]).collect()} == {"und"}
+    assert {x.lang_pred for x in language.predicted(df, none).collect()} == {"und"}
+    assert language.predicted(df.where("false"), model).isEmpty()
+    clash = df.selectExpr("*", "1 as lang_pred", "2 as score").union(df.where("doc_id < 3").selectExpr("*", "1", "2"))
+    kept = language.stage(spark, clash, "")
+    assert kept.columns == clash.columns and len({r.doc_id for r in kept.collect()} & set(range(300))) >= 297 and kept.where("score = 2 and lang_pred = 1").count() >= 300
+    # Words of spliced texts, each by its own language.
+    pure = [(sentence(r, lang, 40), lang) for lang in SYLLABLES for _ in range(10)]
+    s = language.Spelled(pa.array([t for t, _ in pure]))
+    text = np.repeat(np.arange(30), np.diff(s.first))
+    order, chains = language.spliced(2 * text + 1, np.random.default_rng(1))
+    begin, end, _, _ = language.pieces(chains)
+    post, word, _ = language.posteriors(s.emissions(model.weights)[order], model.turn, begin, end)
+    truth = np.array([model.labels.index(pure[t][1]) for t in text[order[word]]])
+    assert sorted(order.tolist()) == list(range(len(text))) and (post.argmax(axis=1) == truth).mean() > 0.97
 
 
 def test_language_sample_of_many_copies(spark, monkeypatch):
@@ -463,16 +571,25 @@ def test_language_sample_of_many_copies(spark, monkeypatch):
     assert all(200 <= n <= 300 for n in Counter(taken).values()) and set(taken) == {"en", "fr"}
 
 
+def test_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LABELS", 3)
+    rows = [(f"w{k} x{n}", f"l{n}") for n in range(6) for k in range(n + 2)]
+    assert language.fitted(spark.createDataFrame(rows, "text string, lang string")).labels == ["l3", "l4", "l5"]
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
     e, turn = rng.normal(size=(5, 3)).astype(np.float32), rng.random((3, 3)).astype(np.float32)
-    post, word, _ = language.posteriors(e, turn, np.array([0]), np.array([5]))
-    want = np.zeros((5, 3))
+    post, word, moves = language.posteriors(e, turn, np.array([0]), np.array([5]))
+    want, steps = np.zeros((5, 3)), np.zeros((3, 3))
     for path in product(range(3), repeat=5):
         p = math.exp(sum(e[i, c] for i, c in enumerate(path))) * math.prod(turn[a, b] for a, b in zip(path, path[1:], strict=False))
+        for a, b in zip(path, path[1:], strict=False):
+            steps[a, b] += p
         for i, c in enumerate(path):
             want[i, c] += p
     assert word.tolist() == list(range(5)) and np.allclose(post, want / want.sum(axis=1, keepdims=True), atol=1e-4)
+    assert np.allclose(moves, steps / want[0].sum(), atol=1e-3)
 
 
 def test_scores_by_brute_force(spark, docs, rows):
@@ -535,7 +652,8 @@ def test_digits_sum_to_one():
         assert np.allclose(scoring.digit_chances(prior, f, node, features), prior[node], atol=1e-6)
 
 
-def test_mixing(spark):
+@pytest.fixture(scope="module")
+def labelled(spark):
     r = random.Random(6)
     words = [f"w{k}" for k in range(50)]
     rows, labels = [], []
@@ -545,18 +663,55 @@ def test_mixing(spark):
         rows.append((d, " ".join(r.choices(words, k=30) + r.choices(extra, k=6)), kind))
         if d % 2:
             labels.append((d, int(kind == "high"), int(kind == "toxic")))
-    rows += [(900, None, "-"), (901, "", "-")]
-    labels += [(5000, 1, 1), (None, 1, 0), (900, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    out = mixing.rated(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ["doc_id", "kind"], mixing.EPOCHS).collect()
-    assert len(out) == 402 and all(x.rate >= 0 for x in out)
-    assert sum(x.domain == x.kind for x in out) >= 390
-    p, n, rate = np.array([x.p for x in out]), np.array([x.n_tokens for x in out]), np.array([x.rate for x in out])
-    aim = p.T @ (n * (p @ [mixing.EPOCHS[d] for d in ("high", "low", "toxic")]))
-    assert np.allclose(p.T @ (n * rate), aim, rtol=0.02)
-    assert all((x.rate < 0.5) == (x.kind == "toxic") for x in out if x.kind != "-")
-    plain = mixing.rated(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"), ["doc_id"], {"all": 1.0}).collect()
-    assert {round(x.rate, 6) for x in plain} == {1.0}
+    rows += [(900, None, "-"), (901, "", "-"), (3, rows[3][1], rows[3][2]), (None, "w1 w2 fine", "-")]
+    labels += [(5000, 1, 1), (None, 1, 0), (900, None, None), (1, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string").selectExpr("*", "1 as n_tokens", "2 as p", "3 as row", "4 as rate")
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def solved(n, p, target, ridge):
+    """The best rates, by Newton's method on the few dual numbers."""
+    there = p.T @ n
+    g = np.zeros(len(target))
+    for _ in range(200):
+        r = np.maximum(0, 1 - p @ g / ridge)
+        gap = (p.T @ (n * r) - target) / there - g
+        slope = -(p * (n * (r > 0))[:, None]).T @ p / ridge / there[:, None] - np.eye(len(g))
+        g = g - 0.5 * np.linalg.solve(slope, gap)
+    return np.maximum(0, 1 - p @ g / ridge)
+
+
+@pytest.mark.parametrize(("shares", "ridge"), [({"toxic": 0.1, "low": 0.4, "high": 0.5}, 0.05), ({"toxic": 0.0, "low": 0.2, "high": 0.8}, 0.3), ({"toxic": 0.0}, 0.3)])
+def test_mixing(labelled, shares, ridge):
+    df, labels = labelled
+    out, mix = mixing.rated(df, labels, mixing.share_targets(shares), ridge)
+    out = out.select("row.*", F.struct("n_tokens", "domain", "p", "rate").alias("x")).collect()
+    assert len(out) == 404 and all(x.n_tokens == 1 and x.x.rate >= 0 for x in out)
+    assert sum(x.x.domain == x.kind for x in out) >= 390
+    p, n, rate = (np.array([x.x[c] for x in out]) for c in ("p", "n_tokens", "rate"))
+    assert mix.domains == ["high", "low", "toxic"] and mix.settled
+    want = solved(n.astype(float), p, mix.target, ridge)
+    assert np.allclose(rate, want, atol=5e-3) and np.allclose(mix.reached, p.T @ (n * rate), rtol=1e-6)
+    named = [shares[d] for d in mix.domains if d in shares]
+    assert np.isclose(mix.target[2], shares["toxic"] / max(sum(named), 1e-9) * (p.T @ n)[[d in shares for d in mix.domains]].sum())
+    if ridge == 0.05:
+        assert np.allclose(mix.reached, mix.target, rtol=0.1)
+    else:  # nothing toxic at all is out of reach, and said so
+        assert mix.reached[2] > 0 == mix.target[2]
+
+
+def test_mixing_stage(labelled, monkeypatch):
+    df, labels = labelled
+    monkeypatch.setattr(mixing, "table", lambda spark, sf, name: labels)
+    out = mixing.stage(df.sparkSession, df, "")
+    assert out.columns == df.columns
+    kept = Counter(r.kind for r in out.collect())
+    there = Counter(r.kind for r in df.collect())
+    assert kept["toxic"] <= 0.03 * there["toxic"] and all(kept[k] >= 0.99 * there[k] for k in ("high", "low")) and kept["-"] == 3
+    none = df.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
+    plain, mix = mixing.rated(df, none, mixing.share_targets(mixing.SHARES))
+    assert {round(x.rate, 6) for x in plain.collect()} == {1.0} and mix.domains == ["all"]
+    assert mixing.rated(df.where("false"), labels, mixing.share_targets(mixing.SHARES))[0].isEmpty()
 
 
 def test_empty_tables(spark, docs):
