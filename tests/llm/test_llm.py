@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sigloom.llm import common, decontaminate, language, lines, mixing, pii, scoring, sharding, simhash, substrings, vectors
+from sigloom.llm import common, decontaminate, language, lines, mixing, pii, queries, scoring, sharding, simhash, substrings, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -745,3 +745,171 @@ def test_pipeline_by_parts(spark):
             assert {r.doc_id for r in now.select("doc_id").collect()} - bad == {r.doc_id for r in after.select("doc_id").collect()}
         kept[name], now = after.count(), after
     assert kept["sharding"] == kept["mixing"] and [r.doc_id for r in now.where("shard = 0").collect()]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def registered(spark, name):
+    return queries.queries()[name](spark, SF).collect()
+
+
+@pytest.fixture(scope="module")
+def raw():
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{SF}/documents.parquet").to_pylist()
+
+
+@pytest.mark.parametrize("name", ["op2_repeated_windows", "op4_hilbert_shards", "op9_near_lines"])
+def test_queries_by_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    out = queries.queries()[name](spark, SF)
+    assert sorted(out.columns) == sorted(want.columns)
+    assert sorted(map(tuple, out.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_query_of_personal_data(spark, raw):
+    want = {}
+    for r in raw:
+        spans = brute_spans(r["text"] or "")
+        want[r["doc_id"]] = (*[sum(k == n for _, n, _ in spans) for k in range(4)], hashlib.sha256(pii.joined(spans).encode()).hexdigest())
+    out = registered(spark, "op1_personal_data")
+    assert len(out) == len(raw) and {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out} == want
+
+
+def test_query_of_components(spark, raw):
+    fp = {r["doc_id"]: brute_fingerprint(r["text"]) for r in raw}
+    root = {d: d for d in fp}
+    for _ in fp:
+        for a, b in product(fp, fp):
+            if (fp[a] ^ fp[b]).bit_count() <= 4 and root[b] != min(root[a], root[b]):
+                root[b] = min(root[a], root[b])
+        if all(root[root[d]] == root[d] for d in fp):
+            break
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in registered(spark, "op3_simhash_components")} == {(d, f"{fp[d]:016x}", root[d]) for d in fp}
+
+
+def test_query_of_neighbours(spark):
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist() if r["embedding"] and any(r["embedding"])]
+    x, ids = np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["vec_id"] for r in rows])
+    out = registered(spark, "op7_nearest_vectors")
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        near = [k for k in np.lexsort((ids, -s)) if k != q][:20]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == ids[q])
+        assert [r[0] for r in mine] == list(range(1, 21)) and all(abs(s[ids.tolist().index(v)] - score) < 1e-9 for _, v, score in mine)
+        hit, total = hit + len({v for _, v, _ in mine} & set(ids[near].tolist())), total + 20
+    assert hit >= 0.9 * total
+
+
+def test_query_of_languages(spark, raw):
+    out = {r.doc_id: r for r in registered(spark, "op8_word_crf")}
+    assert len(out) == len(raw)
+    for r in raw:
+        x = out[r["doc_id"]]
+        assert x.held_out == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= x.score <= 1
+        assert (x.lang_pred == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    held = [r for r in raw if out[r["doc_id"]].held_out and r["lang"]]
+    assert sum(out[r["doc_id"]].lang_pred == r["lang"] for r in held) >= 0.95 * len(held)
+
+
+def test_query_of_scores(spark, raw):
+    out = {r.doc_id: r for r in registered(spark, "op10_maxent_scores")}
+    tokens = {r["doc_id"]: [*WORD.findall(low(r["text"])), None] for r in raw}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
+    c = Counter(w for d, ws in tokens.items() for w in ws if not held[d])
+    n, v = sum(c.values()), len(c)
+    for d, ws in tokens.items():
+        x = out[d]
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(x.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9) and x.score < 0
+
+
+def test_queries_of_mixing_and_decontamination(spark, raw):
+    out = registered(spark, "op5_soft_mixing")
+    assert len(out) == len(raw) and all(r.rate >= 0 and math.isclose(sum(r.p), 1, abs_tol=1e-6) for r in out)
+    assert {r.doc_id: r.n_tokens for r in out} == {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in raw}
+    for k, domain in enumerate(sorted({r.domain for r in out})):
+        mine = [r for r in out if r.domain == domain]
+        assert math.isclose(mine[0].domain_reached, sum(r.n_tokens * r.rate * r.p[k] for r in out), rel_tol=1e-6)
+    import pyarrow.parquet as pq
+
+    items = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
+
+    def words(t):
+        return "".join(c if c.isalnum() or ord(c) > 127 else " " if c.isspace() else "" for c in low(t)).split()
+
+    exact = {(r["doc_id"], i["item_id"]) for r in raw for i in items if words(i["text"]) and " ".join(["", *words(i["text"]), ""]) in " ".join(["", *words(r["text"]), ""])}
+    found = {(r.doc_id, r.item_id): r.edits for r in registered(spark, "op6_cgk_matches")}
+    assert exact and exact <= {k for k, e in found.items() if e == 0}
+
+
+def test_model_scores_by_brute_force(spark):
+    """The model's score: chances of class, digits and word, each from the tables."""
+    r = random.Random(12)
+    vocab = [f"{a}{b}{c}" for a in "abc" for b in "de" for c in ["one", "two", "ing"]]
+    rows = [(d, " ".join(r.choices(vocab, k=r.randint(0, 30)))) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = []
+    inner = scoring.trained
+    try:
+        scoring.trained = lambda *a, **k: models.append(inner(*a, **k)) or models[-1]
+        out = {x.doc_id: x.score for x in scoring.scored(df, F.lit(True)).collect()}
+    finally:
+        scoring.trained = inner
+    prior, factors, digit_factors = models[0]
+    c = Counter(w for _, t in rows for w in t.split())
+    leaf = {}
+    for w in c:
+        t = scoring.Tokens(pa.array([w]))
+        leaf[w] = int(t.leaves[0])
+    mass = np.zeros(scoring.CLASSES * scoring.LEAVES)
+    for w, n in c.items():
+        mass[leaf[w]] += n + 0.5
+    end = (scoring.CLASSES - 1) * scoring.LEAVES
+    for d, text in rows:
+        t, words, want = scoring.Tokens(pa.array([text])), text.split(), 0.0
+        for i in range(len(words) + 1):
+            z = np.prod([factors[k][t.features[k][i]] for k in range(scoring.TABLES)], axis=0, dtype=np.float64)
+            want += math.log10(z[t.classes[i]] / z.sum())
+            if i == len(words):
+                want += math.log10((len(rows) + 0.5) / (len(rows) + 1.0))
+                continue
+            for j, (node, digit, features) in enumerate(t.levels):
+                z = prior[j][node[i]] * np.prod([digit_factors[j][k][features[k][i]] for k in range(scoring.TABLES)], axis=0, dtype=np.float64)
+                want += math.log10(z[digit[i]] / z.sum())
+            want += math.log10((c[words[i]] + 0.5) / (mass[leaf[words[i]]] + 0.5))
+        assert math.isclose(out[d], want, rel_tol=1e-4), (d, out[d], want, end)
+
+
+def test_dirty_tables(spark, docs):
+    """Every query and stage on nulls in all columns, repeated rows, one id with several
+    texts, and a table united with itself; nothing is lost."""
+    import corpus_pipeline
+    from sigloom.llm.common import written
+
+    rows = [(k % 9 if k % 5 else None, t, None if k % 3 else "en", None if k % 4 else f"s{k}", None) for k, t in enumerate([None, "", " \n ", "one", "the same words here", *[" ".join(f"w{(i * j) % 17}" for i in range(40)) for j in range(12)]])]
+    dirty = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    dirty = written(dirty.union(dirty))
+    n = 2 * len(rows)
+    assert pii.find(dirty).count() == substrings.remove_repeats(dirty).count() == simhash.components(dirty).count() == lines.removed_lines(dirty).count() == n
+    assert scoring.scored(dirty, F.lit(True)).count() == sharding.stage(spark, dirty, "").count() == language.predicted(dirty, language.fitted(dirty.select("text", "lang"))).count() == n
+    names = ["size", "shard", "slot", "score", "lang_pred", "removed", "row", "p", "n_tokens", "rate", "key", "fp", "h", "th", "id", "domain"]
+    now = dirty.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES:
+        after = written(stage(spark, now, SF))
+        assert after.columns[: len(now.columns)] == now.columns
+        assert {tuple(r[c] for c in names) for r in after.collect()} <= {tuple(range(len(names)))}
+        now = after
+    assert 0 < now.count() <= n
+    empty = dirty.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).isEmpty()
