@@ -7,7 +7,7 @@ hang on the order of rows at the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_LENGTH, MAX_FREQUENCY, MIN_SCORE = 4, 8, 1.0
@@ -32,14 +32,16 @@ class AnchorIndex:
     """Postings (string, pid, df, idf) of entries (pid, strings)."""
 
     def __init__(self, entries: DataFrame, max_frequency: int = MAX_FREQUENCY):
-        words = _exploded(entries, "pid")
         total = entries.agg(F.count("*").alias("n"))
-        rare = words.groupBy("string").agg(F.count("*").alias("df")).where(F.col("df") <= max_frequency)
+        # Of a string one place more than allowed is enough to know that it is too common:
+        # the limit is applied before rows are shuffled, so frequent strings never meet.
+        first = Window.partitionBy("string").orderBy("pid")
+        few = _exploded(entries, "pid").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_frequency + 1)
+        rare = few.withColumn("df", F.count("*").over(Window.partitionBy("string"))).where(F.col("df") <= max_frequency)
         # One row: the number of entries.
         norm = F.when(F.col("n") > 0, F.ln(F.col("n") + F.lit(1.0))).otherwise(1.0)
-        rare = rare.join(F.broadcast(total)).withColumn("idf", F.ln((F.col("n") + F.lit(1.0)) / F.col("df")) / norm).drop("n")
-        self.strings = rare
-        self.postings = words.join(rare, "string")
+        self.postings = rare.join(F.broadcast(total)).withColumn("idf", F.ln((F.col("n") + F.lit(1.0)) / F.col("df")) / norm).select("string", "pid", "df", "idf")
+        self.strings = self.postings.dropDuplicates(["string"]).drop("pid")
 
     def size(self) -> int:
         return self.strings.count()
