@@ -5,15 +5,25 @@ codes within r agree in some band up to floor(r / m) bits. Bands of the left cod
 exploded with all their flips, bands of the right ones as they are, the join is on
 (band, key), and the distance is a residual condition of that join, so only true pairs
 are shuffled on. Codes are made distinct on both sides first: copies of a code would
-multiply candidates.
+multiply candidates. The number of bands follows from both sides' counts; a few probes
+(``BROADCAST_KEYS`` keys at most, counted) are broadcast, so that the library is streamed
+past them and not shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import codes
+from sigloom.operators.storage import read_facts, write_facts
+
+#: Keys of probes that may be broadcast, about 40 bytes each.
+BROADCAST_KEYS = 1 << 19
+#: What shuffling a key costs, in candidates met.
+SHUFFLE_COST = 50.0
 
 
 def distance(left: str = "l_", right: str = "r_") -> Column:
@@ -33,19 +43,48 @@ def code_pairs(left: DataFrame, right: DataFrame, radius: int, m: int | None = N
     a, b = _sides(left, right)
     if radius == 0:
         return a.join(b, (F.col("l_hi") == F.col("r_hi")) & (F.col("l_lo") == F.col("r_lo"))).withColumn("distance", F.lit(0))
-    m = m or codes.choose_bands(radius, 1_000_000)
-    near = radius // m
-    probes, keys = [], []
+    small = False
+    if m is None:
+        m, small = plan(radius, left.count(), right.count())
+    a, b = probe_keys(a, m, radius), band_keys(b, m)
+    return met(F.broadcast(a) if small else a, b, radius)
+
+
+def plan(radius: int, n_left: int, n_right: int) -> tuple[int, bool]:
+    """Bands, and whether the left side's keys are broadcast, with the least cost for
+    uniform codes: keys that are shuffled or streamed, and candidates that are met."""
+
+    def cost(m: int) -> tuple[float, float]:
+        keys = sum(codes.len_flips(w, radius // m) for _, w in codes.bands(m)) * n_left
+        met_ = sum(codes.len_flips(w, radius // m) * 2.0**-w for _, w in codes.bands(m)) * n_left * n_right
+        shuffled = SHUFFLE_COST * (keys + m * n_right) + met_
+        streamed = SHUFFLE_COST * keys + m * n_right + met_ if keys <= BROADCAST_KEYS else math.inf
+        return shuffled, streamed
+
+    choices = [(c, m, bool(k)) for m in range(2, max(3, radius + 2)) for k, c in enumerate(cost(m))]
+    return min(choices)[1:]
+
+
+def probe_keys(rows: DataFrame, m: int, radius: int) -> DataFrame:
+    """``rows`` (l_hi, l_lo) once for each band and flip, with band and key."""
+    each = []
     for k, (shift, width) in enumerate(codes.bands(m)):
         if width > 64:
             raise ValueError("a band may have at most 64 bits")
         key = codes.field(F.col("l_hi"), F.col("l_lo"), shift, width)
-        masks = codes.flips(width, near)
-        flipped = F.array(*[key.bitwiseXOR(F.lit(x - (1 << 64) if x >> 63 else x).cast("long")) for x in masks])
-        probes.append(F.transform(flipped, _tagged(k)))
-        keys.append(F.struct(F.lit(k).alias("band"), codes.field(F.col("r_hi"), F.col("r_lo"), shift, width).alias("key")))
-    a = a.withColumn("at", F.explode(F.flatten(F.array(*probes)))).select("l_hi", "l_lo", "at.band", "at.key")
-    b = b.withColumn("at", F.explode(F.array(*keys))).select("r_hi", "r_lo", "at.band", "at.key")
+        flipped = F.array(*[key.bitwiseXOR(F.lit(x - (1 << 64) if x >> 63 else x).cast("long")) for x in codes.flips(width, radius // m)])
+        each.append(F.transform(flipped, _tagged(k)))
+    return rows.withColumn("at", F.explode(F.flatten(F.array(*each)))).select(*rows.columns, "at.band", "at.key")
+
+
+def band_keys(rows: DataFrame, m: int) -> DataFrame:
+    """``rows`` (r_hi, r_lo) once for each band, with band and key."""
+    each = [F.struct(F.lit(k).alias("band"), codes.field(F.col("r_hi"), F.col("r_lo"), shift, width).alias("key")) for k, (shift, width) in enumerate(codes.bands(m))]
+    return rows.withColumn("at", F.explode(F.array(*each))).select(*rows.columns, "at.band", "at.key")
+
+
+def met(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
+    """Distinct code pairs of probe keys and band keys within the radius."""
     hit = (a.band == b.band) & (a.key == b.key) & (distance() <= radius)
     return a.join(b, hit).select("l_hi", "l_lo", "r_hi", "r_lo").distinct().withColumn("distance", distance())
 
@@ -57,7 +96,11 @@ def _tagged(band: int):
 def hamming_join(left: DataFrame, right: DataFrame, radius: int, m: int | None = None) -> DataFrame:
     """(qid, pid, distance) of all rows of ``left`` (qid, hi, lo) and ``right`` (pid, hi,
     lo) within the radius: a bag, one row for each pair of rows. Null codes match nothing."""
-    pairs = code_pairs(left, right, radius, m)
+    return expanded(code_pairs(left, right, radius, m), left, right)
+
+
+def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(qid, pid, distance) of all rows that have the codes of the pairs."""
     l, r = (x.select(*cols) for x, cols in ((left, ["qid", "hi", "lo"]), (right, ["pid", "hi", "lo"])))
     out = pairs.join(l, (F.col("l_hi") == l.hi) & (F.col("l_lo") == l.lo)).drop("hi", "lo")
     return out.join(r, (F.col("r_hi") == r.hi) & (F.col("r_lo") == r.lo)).select("qid", "pid", "distance")
@@ -78,15 +121,68 @@ def best_match(hits: DataFrame) -> DataFrame:
     return best.select("qid", F.col("b.pid").alias("pid"), F.col("b.distance").alias("distance"))
 
 
+def by_distance(hits: DataFrame) -> DataFrame:
+    """Hits of each probe, nearest first, then by pid."""
+    return hits.orderBy("qid", "distance", "pid")
+
+
+class MihIndex:
+    """Band keys of a library's codes, kept as a table sorted by (band, key) for any number
+    of joins; exact for every radius."""
+
+    FORMAT = "sigloom-mih-1"
+
+    def __init__(self, keys: DataFrame, entries: DataFrame, m: int, stamp: str | None = None):
+        self.keys, self.entries, self.m, self.stamp = keys, entries, m, stamp
+
+    @classmethod
+    def build(cls, entries: DataFrame, m: int | None = None, stamp: str | None = None) -> MihIndex:
+        """Of entries (pid, hi, lo); ``m`` follows from their number if not given."""
+        m = m or codes.suggest_m(entries.count())
+        known = entries.where("hi is not null and lo is not null")
+        return cls(band_keys(known.select(F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo")).distinct(), m), known.select("pid", "hi", "lo"), m, stamp)
+
+    def write(self, path: str) -> None:
+        self.keys.repartitionByRange("band", "key").sortWithinPartitions("band", "key").write.mode("overwrite").parquet(f"{path}/keys")
+        self.entries.write.mode("overwrite").parquet(f"{path}/entries")
+        write_facts(self.entries.sparkSession, f"{path}/meta", {"format": self.FORMAT, "sig_stamp": self.stamp, "m": self.m})
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, expect_stamp: str | None = None) -> MihIndex:
+        facts = read_facts(spark, f"{path}/meta", cls.FORMAT, expect_stamp)
+        return cls(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/entries"), facts["m"], facts["sig_stamp"])
+
+    def query(self, probes: DataFrame, radius: int) -> DataFrame:
+        """(qid, pid, distance) of probes (qid, hi, lo), see ``hamming_join``."""
+        a, _ = _sides(probes, self.entries)
+        return expanded(met(probe_keys(a, self.m, radius), self.keys, radius), probes, self.entries)
+
+
 class BandStore:
     """Entries (pid, hi, lo) under the prefixes of several bit permutations.
 
     Approximate: what it returns is within the radius, but a near code is only found
     where a permuted prefix agrees (up to ``probe`` flipped bits, at most two)."""
 
-    def __init__(self, entries: DataFrame, tables: int = 6, prefix_bits: int = 18, seed: int = 0xA9C1D):
-        self.entries, self.prefix_bits = entries, prefix_bits
+    FORMAT = "sigloom-bands-1"
+
+    def __init__(self, entries: DataFrame, tables: int = 6, prefix_bits: int = 18, seed: int = 0xA9C1D, stamp: str | None = None, kept: DataFrame | None = None):
+        self.entries, self.prefix_bits, self.seed, self.stamp = entries, prefix_bits, seed, stamp
         self.orders = codes.permutations(tables, seed)
+        self.kept = kept
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, expect_stamp: str | None = None) -> BandStore:
+        """A written store; bands are read and not worked out again."""
+        facts = read_facts(spark, f"{path}/meta", cls.FORMAT, expect_stamp)
+        kept = spark.read.parquet(f"{path}/bands")
+        if kept.count() != facts["n_entries"] * facts["tables"]:
+            raise ValueError(f"{path} is not whole")
+        entries = kept.where(F.col("table") == 0).select("pid", "hi", "lo")
+        return cls(entries, facts["tables"], facts["prefix_bits"], facts["seed"], facts["sig_stamp"], kept)
+
+    def bands(self) -> DataFrame:
+        return self.kept if self.kept is not None else self.prefixes(self.entries.select("pid", "hi", "lo"))
 
     def prefixes(self, rows: DataFrame, hi: str = "hi", lo: str = "lo", probe: int = 0) -> DataFrame:
         """``rows`` with (table, prefix), one row for each prefix that is looked up."""
@@ -102,18 +198,20 @@ class BandStore:
     def directory(self) -> DataFrame:
         """(table, prefix, entries, offset): how many entries a prefix has, and how many
         come before it in its table."""
-        counts = self.prefixes(self.entries).groupBy("table", "prefix").agg(F.count("*").alias("entries"))
+        counts = self.bands().groupBy("table", "prefix").agg(F.count("*").alias("entries"))
         before = Window.partitionBy("table").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("offset", F.coalesce(F.sum("entries").over(before), F.lit(0)))
 
     def write(self, path: str) -> None:
-        """The band table, sorted for lookups by prefix."""
-        self.prefixes(self.entries).repartitionByRange("table", "prefix").sortWithinPartitions("table", "prefix", "pid").write.mode("overwrite").parquet(path)
+        """The band table, sorted for lookups by prefix, and what it was made with."""
+        self.bands().repartitionByRange("table", "prefix").sortWithinPartitions("table", "prefix", "pid").write.mode("overwrite").parquet(f"{path}/bands")
+        facts = {"format": self.FORMAT, "sig_stamp": self.stamp, "tables": len(self.orders), "prefix_bits": self.prefix_bits, "seed": self.seed, "n_entries": self.entries.count()}
+        write_facts(self.entries.sparkSession, f"{path}/meta", facts)
 
     def query_best(self, probes: DataFrame, radius: int, probe: int = 0) -> DataFrame:
         """(qid, pid, distance): the least distance of each payload found."""
         l = self.prefixes(probes.select("qid", F.col("hi").alias("l_hi"), F.col("lo").alias("l_lo")), "l_hi", "l_lo", probe)
-        r = self.prefixes(self.entries.select("pid", F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo")), "r_hi", "r_lo")
+        r = self.bands().withColumnsRenamed({"hi": "r_hi", "lo": "r_lo"})
         hit = (l.table == r.table) & (l.prefix == r.prefix) & (distance() <= radius)
         return l.join(r, hit).groupBy("qid", "pid").agg(F.min(distance()).alias("distance"))
 

@@ -54,5 +54,17 @@ def first_available(wanted: DataFrame, available: DataFrame, suffixes: tuple[str
     return best.select("coord", "version", F.concat("coord", "b.suffix").alias("artifact"), "b.packaging", F.when(F.col("b").isNull(), "not found").otherwise("").alias("error"))
 
 
+def scrape_plan(versions: DataFrame, cached: DataFrame, available: DataFrame, stamp: str, max_n: int = 8) -> DataFrame:
+    """(coord, version, status, artifact, packaging, error) of the sampled versions: cached
+    ones are reused, others fetched where something is available; what is not is an error
+    of its row and of no other."""
+    wanted = sample_versions(versions, max_n).select("coord", "version")
+    missing = first_available(to_fetch(wanted, cached, stamp), available).withColumn("status", F.when(F.col("error") == "", "fetch").otherwise("failed"))
+    reused = wanted.join(missing.select("coord", "version"), ["coord", "version"], "left_anti")
+    none = F.lit(None).cast("string")
+    reused = reused.select("coord", "version", none.alias("artifact"), none.alias("packaging"), F.lit("").alias("error"), F.lit("cached").alias("status"))
+    return reused.unionByName(missing)
+
+
 def fetch_counters(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if(F.col("error") == "").alias("ok"), F.count_if(F.col("error") != "").alias("failed"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,12 +12,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` saved in the folder of spark.checkpoint.dir, which executors share. Only a
     local session may go without the setting."""
     spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
+class StaleStoreError(ValueError):
+    """A store was made by another signature algorithm."""
+
+
+def write_facts(spark: SparkSession, path: str, facts: dict) -> None:
+    """One JSON row of facts about a store."""
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_facts(spark: SparkSession, path: str, form: str, expect_stamp: str | None = None) -> dict:
+    """The facts of a store; another format, or another stamp than expected, is refused."""
+    facts = json.loads(spark.read.text(path).first()[0])
+    if facts.get("format") != form:
+        raise ValueError(f"{path} has format {facts.get('format')}, not {form}")
+    if expect_stamp is not None and facts["sig_stamp"] != expect_stamp:
+        raise StaleStoreError(f"{path} has stamp {facts['sig_stamp']}, not {expect_stamp}")
+    return facts
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session may go without."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return df.checkpoint()
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    return found.rstrip("/")
 
 
 def dense_ids(df: DataFrame, order: list[str | Column], name: str = "payload_id") -> DataFrame:

@@ -31,6 +31,13 @@ def histogram(drifted: DataFrame) -> DataFrame:
     return drifted.groupBy("distance").agg(F.count("*").alias("n_all"), F.count_if("library").alias("n_library"), F.count_if(~F.col("library")).alias("n_app"))
 
 
+def grand_histogram(drifted: DataFrame) -> DataFrame:
+    """(pair, distance, n) of drifted pairs with a column ``pair`` that names their builds:
+    a histogram of each pair of builds, and one of all together (pair null)."""
+    counts = drifted.groupBy("pair", "distance").agg(F.count("*").alias("n"))
+    return counts.unionByName(counts.groupBy("distance").agg(F.sum("n").alias("n")).withColumn("pair", F.lit(None).cast(drifted.schema["pair"].dataType)))
+
+
 def cumulative(hist: DataFrame) -> DataFrame:
     """The histogram with the share of pairs up to each distance, and a bar. The table has
     at most 129 rows, so its one ordered partition is small."""

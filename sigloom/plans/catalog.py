@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import codes, names
 from sigloom.operators import anchors, cluster, dedup, detect, generate, hamming, sampling, study
-from sigloom.plans.projections import DOC_SQL, OBS_SQL, app, doc_codes, doc_strings, library, observations
+from sigloom.operators.storage import shared_dir
+from sigloom.plans.projections import DOC_SQL, OBS_SQL, app, doc_codes, doc_strings, documents, library, observations
 from sigloom.sources import pack, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,10 +187,7 @@ def stale_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pack_roundtrip", f"{_BUILD} SELECT count(*) AS n_entries, count(DISTINCT coord) AS coords, sum(len(string_split(ranges, ',')))::BIGINT AS n_ranges FROM ranges")
 def pack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/pack-{uuid.uuid4().hex}"
+    path = _fresh(spark, "pack")
     built = dedup.build(observations(spark, sf_dir), "now").persist()
     pack.write_pack(path, built.select("payload_id", "hi", "lo", "strings"), built.select("payload_id", "coord", "ranges", "fqcn"), "now")
     entries, payloads, _ = pack.read_pack(spark, path, "now")
@@ -389,7 +388,10 @@ def catalogue_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_catalogue(lines)
 
 
-@register("catalogue_seed")
+_SEED_ROWS = [(k, line.split("#")[0].split()) for k, line in enumerate(readers.SEED.read_text().splitlines(), 1)]
+
+
+@register("catalogue_seed", "SELECT * FROM (VALUES " + ", ".join(f"('{f[0]}', '{f[1]}', {k})" for k, f in _SEED_ROWS if f) + ") t(coord, repo, pos)")
 def catalogue_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.load_catalogue(spark)
 
@@ -402,15 +404,161 @@ def mapping_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_class_mapping(spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("lineno"), line.alias("line")))
 
 
-@register("metadata_versions", "SELECT p_brand AS coord, list(p_name ORDER BY p_partkey)[k + 1] AS version, k::INT AS pos FROM part, range(0, 3) t(k) GROUP BY p_brand, k")
+@register("mapping_invert", "WITH pairs AS (SELECT 'com.x.C' || p_partkey % 500 AS original, 'a.' || p_partkey % 90 AS obfuscated, p_partkey AS pos FROM part), last AS (SELECT original, arg_max(obfuscated, pos) AS obfuscated, min(pos) AS pos FROM pairs GROUP BY 1) SELECT obfuscated, arg_max(original, pos) AS original FROM last GROUP BY 1")
+def mapping_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    line = F.concat(F.lit("com.x.C"), (key % 500).cast("string"), F.lit(" -> a."), (key % 90).cast("string"), F.lit(":"))
+    return readers.invert(readers.mapping_in_order(spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("lineno"), line.alias("line"))))
+
+
+_COORD_SQL = "p_brand || ':' || p_size"
+
+
+@register("metadata_versions", f"SELECT {_COORD_SQL} AS coord, p_name AS version, (row_number() OVER (PARTITION BY {_COORD_SQL} ORDER BY p_partkey) - 1)::INT AS pos FROM part")
 def metadata_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), 1, 3), lambda x: F.concat(F.lit("<version>"), x["p_name"], F.lit("</version>")))
-    files = part.groupBy(F.col("p_brand").alias("coord")).agg(F.concat(F.lit("<metadata><versioning><versions>"), F.array_join(listed, ""), F.lit("</versions></versioning></metadata>")).alias("value"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: F.concat(F.lit("<version>"), x["p_name"], F.lit("</version>")))
+    coord = F.concat(F.col("p_brand"), F.lit(":"), F.col("p_size").cast("string"))
+    files = part.groupBy(coord.alias("coord")).agg(F.concat(F.lit("<metadata><versioning><versions>"), F.array_join(listed, ""), F.lit("</versions></versioning></metadata>")).alias("value"))
     return readers.list_versions(files)
 
 
-@register("generated_probes")
+@register("catalogue_json", "WITH items AS (SELECT p_size || ':' || p_brand AS coord, 'r' || p_partkey % 3 AS repo, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS pos FROM part) SELECT coord, arg_min(repo, pos) AS repo, min(pos)::INT AS pos FROM items GROUP BY coord")
+def catalogue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(":"), F.col("p_brand")).alias("coordinate"), F.concat(F.lit("r"), (F.col("p_partkey") % 3).cast("string")).alias("repository"))
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_size").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("value"))
+    return readers.parse_catalogue_json(files)
+
+
+@register("names_and_times", "SELECT p_partkey, split_part(p_name, ' ', 1) || '-' || p_size || '.sigs.json' AS file, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type || '.' || p_brand END AS fqcn, strftime(make_timestamp(p_partkey::BIGINT * 86461000000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM part")
+def names_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    coord = F.concat(F.lit("g:"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)))
+    package = F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_type"))
+    return part.select("p_partkey", names.sigs_file(coord, F.col("p_size").cast("string")).alias("file"), names.fqcn(package, F.col("p_brand")).alias("fqcn"), names.iso_utc(F.timestamp_micros(F.col("p_partkey").cast("long") * 86461000000)).alias("at"))
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("sigs_roundtrip", f"{OBS_SQL} SELECT coord, count(*) AS classes, count(DISTINCT version) AS versions, count(DISTINCT (hi, lo)) AS codes, sum(instructions)::BIGINT AS instructions, string_agg(DISTINCT sig_stamp, ',' ORDER BY sig_stamp) AS stamps FROM obs GROUP BY coord")
+def sigs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations written as cached files and read again."""
+    path, none = _fresh(spark, "sigs"), F.lit(None).cast("string")
+    obs = observations(spark, sf_dir).withColumns({"repo": F.lit("r"), "packaging": F.lit("jar"), "digest": none})
+    readers.save_sigs(obs, path)
+    out = readers.load_sigs(spark, f"{path}/*/*.json")
+    return out.groupBy("coord").agg(F.count("*").alias("classes"), F.count_distinct("version").alias("versions"), F.count_distinct("hi", "lo").alias("codes"), F.sum("instructions").alias("instructions"), F.array_join(F.array_sort(F.collect_set("sig_stamp")), ",").alias("stamps"))
+
+
+@register("pack_facts", f"{_BUILD} SELECT count(*) AS n_entries, count(DISTINCT coord)::INT AS coords, 7::BIGINT AS versions, 'meta' AS built_from, true AS refused, true AS other_payloads_refused FROM ranges")
+def pack_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pack says of itself, and whether other stamps are refused."""
+    path, other = _fresh(spark, "pack"), _fresh(spark, "pack")
+    built = dedup.build(observations(spark, sf_dir), "now").persist()
+    entries, payloads = built.select("payload_id", "hi", "lo", "strings"), built.select("payload_id", "coord", "ranges", "fqcn")
+    coords = [r.coord for r in built.select("coord").distinct().orderBy("coord").collect()]
+    pack.write_pack(path, entries, payloads, "now", {"coords": coords, "versions": 7})
+    pack.write_pack(other, entries, payloads, "old")
+    payloads_of_other = spark.read.parquet(f"{other}/payloads")
+    refused = []
+    for replaced in (False, True):
+        if replaced:
+            payloads_of_other.write.mode("overwrite").parquet(f"{path}/payloads")
+        try:
+            pack.read_pack(spark, path, "now" if replaced else "old")
+            refused.append(False)
+        except ValueError:
+            refused.append(True)
+    built.unpersist()
+    about = pack.describe_pack(spark, path)
+    return spark.createDataFrame([(about["n_entries"], about["coords"], about["versions"], about["built_from"], *refused)], "n_entries long, coords int, versions long, built_from string, refused boolean, other_payloads_refused boolean")
+
+
+@register("lsh_reopened", f"{_BANDS_SQL} {_FOUND}")
+def lsh_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band store written, opened again and asked."""
+    path = _fresh(spark, "bands")
+    hamming.BandStore(library(spark, sf_dir).select("pid", "hi", "lo"), _TABLES, _PREFIX, _SEED, "now").write(path)
+    return hamming.BandStore.open(spark, path, "now").query_best(app(spark, sf_dir), 8)
+
+
+@register("mih_reopened", f"{DOC_SQL}, {_near(12)} SELECT qid, pid, distance FROM near")
+def mih_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact index written, opened again and asked."""
+    path = _fresh(spark, "mih")
+    hamming.MihIndex.build(library(spark, sf_dir), stamp="now").write(path)
+    return hamming.MihIndex.open(spark, path, "now").query(app(spark, sf_dir), 12)
+
+
+_PLAN_SQL = f"""WITH wanted AS ({_SAMPLE.replace("SELECT coord, version, rank::INT AS rank FROM ranked", "SELECT coord, version FROM ranked")}),
+left_ AS (SELECT * FROM wanted WHERE NOT (length(version) % 3 = 0 AND coord <> 'Brand#11')),
+avail AS (SELECT DISTINCT p_brand || CASE WHEN p_size % 2 = 0 THEN '' ELSE '-jvm' END AS coord, (p_size % 5)::VARCHAR || '.' AS lead, CASE WHEN p_size % 3 = 0 THEN 'aar' ELSE 'jar' END AS packaging FROM part WHERE p_size % 7 <> 0),
+tries AS (SELECT l.coord, l.version, s.k * 2 + p.k AS rank, l.coord || s.x AS artifact, p.x AS packaging FROM left_ l, (VALUES (0, ''), (1, '-jvm'), (2, '-android')) s(k, x), (VALUES (0, 'aar'), (1, 'jar')) p(k, x)),
+got AS (SELECT t.coord, t.version, arg_min(t.artifact, t.rank) AS artifact, arg_min(t.packaging, t.rank) AS packaging FROM tries t JOIN avail a ON a.coord = t.artifact AND a.packaging = t.packaging AND starts_with(t.version, a.lead) GROUP BY t.coord, t.version),
+plan AS (SELECT coord, version, artifact, packaging, CASE WHEN artifact IS NULL THEN 'not found' ELSE '' END AS error, CASE WHEN artifact IS NULL THEN 'failed' ELSE 'fetch' END AS status FROM left_ LEFT JOIN got USING (coord, version)
+UNION ALL SELECT coord, version, NULL, NULL, '', 'cached' FROM wanted ANTI JOIN left_ USING (coord, version))"""
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = _versions(spark, sf_dir)
+    cached = versions.where((F.length("version") % 3 == 0) & (F.col("coord") != "Brand#11")).select("coord", "version", F.lit("now").alias("sig_stamp"), F.lit(None).cast("string").alias("digest"))
+    size = F.col("p_size")
+    there = spark.read.parquet(f"{sf_dir}/part.parquet").where(size % 7 != 0).select(F.col("p_brand").alias("b"), F.concat("p_brand", F.when(size % 2 == 0, F.lit("")).otherwise(F.lit("-jvm"))).alias("coord"), F.concat((size % 5).cast("string"), F.lit(".")).alias("lead"), F.when(size % 3 == 0, F.lit("aar")).otherwise(F.lit("jar")).alias("packaging")).distinct()
+    available = there.join(versions.select(F.col("coord").alias("b"), "version"), "b").where(F.startswith("version", F.col("lead"))).select("coord", "version", "packaging").distinct()
+    return sampling.scrape_plan(versions, cached, available, "now")
+
+
+@register("scrape_plan", f"{_PLAN_SQL} SELECT coord, version, artifact, packaging, error, status FROM plan")
+def scrape_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir)
+
+
+@register("fetch_counters", f"{_PLAN_SQL} SELECT count(*) FILTER (error = '') AS ok, count(*) FILTER (error <> '') AS failed FROM plan")
+def fetch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fetch_counters(_plan(spark, sf_dir))
+
+
+@register("ranges_with_strays", f"""{OBS_SQL}, {_KEPT}, {_ENTRIES}, {_ORDER.replace("sig_stamp = 'now')", "sig_stamp = 'now' AND version::BIGINT % 5 <> 0)")}, {_RANGES.replace(' JOIN vers ON', ' LEFT JOIN vers ON').replace('FROM hits)', 'FROM hits WHERE pos IS NOT NULL)').rsplit(',' + chr(10) + 'ranges', 1)[0]},
+parts AS (SELECT coord, hi, lo, 0 AS stray, low, text FROM runs UNION ALL SELECT coord, hi, lo, 1, 0, version FROM hits WHERE pos IS NULL)
+SELECT coord, hi || lo AS sig, string_agg(text, ',' ORDER BY stray, low, text) AS ranges FROM parts GROUP BY coord, hi, lo""")
+def ranges_with_strays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions that the order does not know come last, by text."""
+    entries = dedup.dedup_by_signature(_kept(spark, sf_dir)).withColumn("sig", codes.hex_of_lanes(F.col("hi"), F.col("lo")))
+    order = dedup.version_order(dedup.current(observations(spark, sf_dir), "now").where(F.col("version").cast("long") % 5 != 0))
+    hits = entries.select(F.struct("coord", "sig").alias("entry"), "coord", F.explode("versions").alias("version"))
+    return dedup.compact_ranges(hits, order).select("entry.coord", "entry.sig", F.array_join("ranges", ",").alias("ranges"))
+
+
+_MD5 = "md5(concat_ws(':', {}))"
+
+
+def _lane_sql(*parts: str) -> str:
+    return f"('0x' || substr({_MD5.format(', '.join(parts))}, 1, 16))::UBIGINT"
+
+
+def _below_sql(n: int, *parts: str) -> str:
+    return f"(('0x' || substr({_MD5.format(', '.join(parts))}, 1, 7))::BIGINT % {n})::INT"
+
+
+def _flips_sql(lane: str, most: int) -> str:
+    """The lane with the first n drawn bits flipped."""
+    side = ">= 64" if lane.endswith("hi") else "< 64"
+    for k in range(most):
+        bit = _below_sql(128, "qid", f"'{k}'")
+        here = f"{bit} {side}"
+        lane = f"xor({lane}, CASE WHEN n > {k} AND {here} THEN 1::UBIGINT << ({bit} % 64) ELSE 0::UBIGINT END)"
+    return lane
+
+
+_GENERATED = f"""WITH lib AS MATERIALIZED (SELECT range AS pid, {_lane_sql("range", "1", "0")} AS hi, {_lane_sql("range", "1", "1")} AS lo FROM range(0, 20000)),
+drawn AS (SELECT range AS qid, {_below_sql(20000, "range", "1", "'of'")}::BIGINT AS pid, {_below_sql(100, "range", "1", "'kind'")} < 30 AS near, {_below_sql(13, "range", "'n'")} AS n FROM range(0, 2000)),
+app AS MATERIALIZED (SELECT qid, CASE WHEN near THEN {_flips_sql("l.hi", 12)} ELSE {_lane_sql("qid", "1", "'miss0'")} END AS hi, CASE WHEN near THEN {_flips_sql("l.lo", 12)} ELSE {_lane_sql("qid", "1", "'miss1'")} END AS lo FROM drawn JOIN lib l USING (pid)),
+{_near(12)} {_BEST}"""
+
+
+@register("generated_probes", _GENERATED)
 def generated_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = generate.uniform_codes(spark, 20_000)
     return hamming.best_match(hamming.hamming_join(generate.probe_mix(lib, 20_000, 2_000, 12), lib, 12, m=8))
@@ -447,6 +595,12 @@ def drift_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.cumulative(study.histogram(_drift(spark, sf_dir)))
 
 
+@register("drift_grand", f"{_DRIFT}, two AS (SELECT CASE WHEN length(original) % 2 = 0 THEN 'even' ELSE 'odd' END AS pair, distance FROM drifted) SELECT pair, distance, count(*) AS n FROM two GROUP BY GROUPING SETS ((pair, distance), (distance))")
+def drift_grand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = F.when(F.length("original") % 2 == 0, "even").otherwise("odd")
+    return study.grand_histogram(_drift(spark, sf_dir).withColumn("pair", pair))
+
+
 @register("drift_percentiles", f"{_DRIFT} " + " UNION ALL ".join(f"SELECT {p}::DOUBLE AS p, quantile_disc(distance, {p}) AS distance FROM drifted" for p in (0.5, 0.9, 0.95, 0.99)))
 def drift_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.percentiles(_drift(spark, sf_dir), [0.5, 0.9, 0.95, 0.99])
@@ -464,7 +618,8 @@ def cosine_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVAL = f"""{_CASCADE}, called AS (SELECT pid, 'lib.' || coord || '.x.C' || pid AS name FROM lib),
-truth AS (SELECT a.qid, 'lib.' || min_by(l.coord, l.pid) || '.x.C' || min(l.pid) AS original FROM app a JOIN lib l ON l.hi = a.hi OR l.lo = a.lo GROUP BY a.qid),
+begins AS (SELECT doc_id, substr(text, 1, 40) AS lead FROM documents WHERE length(text) >= 40),
+truth AS (SELECT a.qid, 'lib.' || min_by(l.coord, l.pid) || '.x.C' || min(l.pid) AS original FROM app a JOIN begins b ON b.doc_id = a.qid JOIN begins c ON c.lead = b.lead JOIN lib l ON l.pid = c.doc_id GROUP BY a.qid),
 judged AS (SELECT d.qid, d.tier, c.name AS found, t.original FROM detected d LEFT JOIN called c ON c.pid = d.payload_id LEFT JOIN truth t ON t.qid = d.qid),
 counts AS (SELECT count(*) FILTER (original IS NOT NULL) AS tested, count(*) FILTER (found = original) AS tp, count(*) FILTER (found IS NOT NULL AND found IS DISTINCT FROM original) AS fp, count(*) FILTER (found IS NULL AND original IS NOT NULL) AS fn, count(*) FILTER (found = original AND tier = 1) AS tier1, count(*) FILTER (found = original AND tier = 2) AS tier2, count(*) FILTER (found = original AND tier = 3) AS tier3 FROM judged),
 shares AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM counts)"""
@@ -475,9 +630,12 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = F.concat(F.lit("lib."), F.col("coord"), F.lit(".x.C"), F.col("pid").cast("string"))
     called = lib.select(F.col("pid").alias("payload_id"), name.alias("found"))
     found = d.detect(_app_classes(spark, sf_dir)).join(called, "payload_id", "left").select("qid", "found", "tier")
-    # The truth: the first library class that shares a lane of the code.
-    pairs = [app(spark, sf_dir).select("qid", lane).join(lib.select(lane, "coord", "pid"), lane).select("qid", "pid", "coord") for lane in ("hi", "lo")]
-    first = pairs[0].union(pairs[1]).groupBy("qid").agg(F.min(F.struct("pid", "coord")).alias("f"))
+    # The truth, which neither code nor rare strings decide: the first library class whose
+    # text begins with the same 40 characters.
+    begins = documents(spark, sf_dir).where("length(text) >= 40").select("doc_id", F.substring("text", 1, 40).alias("lead"))
+    mine = app(spark, sf_dir).select("doc_id", "qid").join(begins, "doc_id").select("qid", "lead")
+    pairs = mine.join(lib.select("doc_id", "pid", "coord").join(begins, "doc_id").select("pid", "coord", "lead"), "lead")
+    first = pairs.groupBy("qid").agg(F.min(F.struct("pid", "coord")).alias("f"))
     truth = first.select("qid", "f.pid", "f.coord").select("qid", name.alias("original"))
     return found, truth
 

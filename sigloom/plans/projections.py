@@ -14,15 +14,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = 4
-_held: dict[tuple[str, str, str], DataFrame] = {}
+_held: dict[tuple[str, str, str], tuple[tuple[int, int], DataFrame]] = {}
 
 
 def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()`` cached once a session: many queries share these slim tables."""
+    """``make()`` cached once a session: many queries share these slim tables. Made anew
+    when the documents have changed; ``release`` frees them all."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = (fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength())
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _held and _held[key][0] != state:
+        _held.pop(key)[1].unpersist()
     if key not in _held:
-        _held[key] = make().persist()
-    return _held[key]
+        _held[key] = state, make().persist()
+    return _held[key][1]
+
+
+def release() -> None:
+    while _held:
+        _held.popitem()[1][1].unpersist()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT = 1
-
+from sigloom.operators.storage import StaleStoreError
 
-class StaleStoreError(ValueError):
-    """The pack was made by another signature algorithm."""
+FORMAT = 1
 
 
 def _fs(spark: SparkSession, path: str):
@@ -37,7 +35,7 @@ def write_pack(path: str, entries: DataFrame, payloads: DataFrame | None, stamp:
         raise ValueError("payload ids must be 0 to n - 1, each once")
     entries.write.mode("overwrite").parquet(f"{path}/entries")
     if payloads is not None:
-        payloads.write.mode("overwrite").parquet(f"{path}/payloads")
+        payloads.withColumn("sig_stamp", F.lit(stamp)).write.mode("overwrite").parquet(f"{path}/payloads")
     facts = {"built": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")} | (meta or {})
     schema = "format int, sig_stamp string, n_entries long, coords array<string>, versions long, classes_seen long, classes_below_min_instr long, min_instr long, built string"
     row = (FORMAT, stamp, n, *[facts.get(k) for k in ("coords", "versions", "classes_seen", "classes_below_min_instr", "min_instr", "built")])
@@ -60,8 +58,13 @@ def read_pack(spark: SparkSession, path: str, expect_stamp: str | None = None) -
         raise StaleStoreError(f"{path} has stamp {meta['sig_stamp']}, not {expect_stamp}")
     entries = spark.read.parquet(f"{path}/entries")
     payloads = spark.read.parquet(f"{path}/payloads") if exists(spark, f"{path}/payloads") else None
-    if payloads is not None and payloads.count() != meta["n_entries"]:
-        raise ValueError(f"{path}: payloads are not those of the entries")
+    if payloads is not None:
+        # Payloads of another build may be as many: their stamp must agree as well.
+        stamp = F.col("sig_stamp") if "sig_stamp" in payloads.columns else F.lit(None)
+        n, same = payloads.agg(F.count("*"), F.count_if(stamp == meta["sig_stamp"])).first()
+        if n != meta["n_entries"] or same != n:
+            raise ValueError(f"{path}: payloads are not those of the entries")
+        payloads = payloads.drop("sig_stamp")
     return entries, payloads, meta["sig_stamp"]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import codes, names
@@ -70,15 +70,17 @@ def load_sigs(spark: SparkSession, path: str) -> DataFrame:
     """Class observations of cached files: path, coord, version, repo, packaging, digest,
     sig_stamp, fqcn, hi, lo, strings, instructions, seq. A file that is not JSON, lacks a
     key, has another format or one malformed class is dropped whole; ``seq`` orders by
-    path, then by place in the file."""
+    path, then by place in the file. A file may hold several objects, each begun on a line
+    of its own (see ``save_sigs``); these stand and fall apart."""
     schema = "format int, coord string, version string, repo string, packaging string, digest string, sig_stamp string, classes array<array<string>>"
     safe = F.regexp_replace(F.regexp_replace("value", _LONE_HIGH, r"$1\\\\$2"), _LONE_LOW, r"$1\\\\$2")
-    files = whole_files(spark, path).select("path", F.from_json(safe, schema).alias("d")).select("path", "d.*")
+    objects = whole_files(spark, path).select("path", F.posexplode(F.split("value", r"\n(?=\{)")).alias("nth", "value"))
+    files = objects.select("path", "nth", F.from_json(safe, schema).alias("d")).select("path", "nth", "d.*")
     well = F.forall("classes", lambda c: (F.size(c) == 4) & F.rlike(F.get(c, F.lit(1)), F.lit(r"\A[0-9a-fA-F]{1,32}\z")) & F.get(c, F.lit(0)).isNotNull() & F.get(c, F.lit(3)).try_cast("int").isNotNull())
     good = files.where((F.col("format") == SIGS_FORMAT) & F.col("coord").isNotNull() & F.col("version").isNotNull() & F.col("sig_stamp").isNotNull() & F.col("classes").isNotNull() & well)
-    rows = good.select("path", "coord", "version", "repo", "packaging", "digest", "sig_stamp", F.posexplode_outer("classes").alias("at", "c"))
+    rows = good.select("path", "nth", "coord", "version", "repo", "packaging", "digest", "sig_stamp", F.posexplode_outer("classes").alias("at", "c"))
     hi, lo = codes.lanes_of_hex(F.get("c", F.lit(1)))
-    seq = F.struct("path", "at")
+    seq = F.struct("path", "nth", "at")
     return rows.select("path", "coord", "version", "repo", "packaging", "digest", "sig_stamp", F.get("c", F.lit(0)).alias("fqcn"), hi.alias("hi"), lo.alias("lo"), F.from_json(F.get("c", F.lit(2)), "array<string>").alias("strings"), F.get("c", F.lit(3)).cast("int").alias("instructions"), seq.alias("seq"))
 
 
@@ -97,19 +99,28 @@ def save_sigs(obs: DataFrame, cache: str) -> None:
 def parse_class_mapping(lines: DataFrame) -> DataFrame:
     """(original, obfuscated) of lines (lineno, line): unindented ``a -> b:`` only; the
     last line of an original counts."""
+    return mapping_in_order(lines).drop("pos")
+
+
+def mapping_in_order(lines: DataFrame) -> DataFrame:
+    """The same with ``pos``, the line that names the original first."""
     kept = lines.where(~F.rlike("line", F.lit(r"^(\s|#|$)")) & F.rlike("line", F.lit(r":\s*$")) & F.contains("line", F.lit(" -> ")))
     bare = F.regexp_replace(F.rtrim("line"), r":$", "")
     at = F.locate(" -> ", bare)
     pairs = kept.select("lineno", F.trim(F.substring(bare, F.lit(1), at - 1)).alias("original"), F.trim(F.substring(bare, at + 4, F.length(bare))).alias("obfuscated"))
-    return pairs.groupBy("original").agg(F.max_by("obfuscated", "lineno").alias("obfuscated"))
+    return pairs.groupBy("original").agg(F.max_by("obfuscated", "lineno").alias("obfuscated"), F.min("lineno").alias("pos"))
 
 
 def invert(mapping: DataFrame) -> DataFrame:
-    """(obfuscated, original); of several originals the last by name."""
-    return mapping.groupBy("obfuscated").agg(F.max("original").alias("original"))
-
-
-def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key, for inputs where a later row replaces an earlier one."""
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    """(obfuscated, original) of a mapping with ``pos``; of several originals the one that
+    came last."""
+    return mapping.groupBy("obfuscated").agg(F.max_by("original", "pos").alias("original"))
+
+
+def load_build(spark: SparkSession, spec: str) -> tuple[DataFrame, DataFrame]:
+    """Class rows (Parquet) and class mapping of a build, named as ``rows:mapping``. The
+    last colon splits, so paths may have a scheme before the first one's."""
+    rows, _, mapping = spec.rpartition(":")
+    if not rows or not mapping:
+        raise ValueError(f"{spec!r} is not rows:mapping")
+    return spark.read.parquet(rows), mapping_in_order(text_lines(whole_files(spark, mapping)))

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import codes, names
-from sigloom.operators import anchors, cluster, dedup, detect, generate, hamming, sampling, study
+from sigloom.operators import anchors, cluster, dedup, detect, generate, hamming, sampling, storage, study
 from sigloom.sources import pack, readers
 
+# Inputs whose expected results are given with them.
 OKHTTP = "com.squareup.okhttp3:okhttp"
 ORDER = ["3.12.0", "3.14.9", "4.0.1", "4.9.3", "4.12.0"]
 
@@ -74,6 +75,41 @@ def test_band_store_recall_and_precision(spark):
     assert store.query_best(probes, 4).where("distance > 4").isEmpty()
 
 
+def test_stores_open_again(spark, tmp_path):
+    lib = generate.uniform_codes(spark, 2000, 5).persist()
+    hi, lo = generate.flipped_apart(F.col("hi"), F.col("lo"), F.col("pid"), 7)
+    probes = lib.where("pid % 20 = 0").select(F.col("pid").alias("qid"), hi.alias("hi"), lo.alias("lo"))
+    store, path = hamming.BandStore(lib, tables=8, prefix_bits=10, stamp="s"), str(tmp_path / "bands")
+    store.write(path)
+    again = hamming.BandStore.open(spark, path, "s")
+    assert sorted(again.query_best(probes, 7).collect()) == sorted(store.query_best(probes, 7).collect())
+    assert sorted(again.directory().collect()) == sorted(store.directory().collect())
+    with pytest.raises(storage.StaleStoreError):
+        hamming.BandStore.open(spark, path, "t")
+    spark.read.parquet(f"{path}/bands").where("table > 0").write.parquet(str(tmp_path / "cut" / "bands"))
+    spark.read.text(f"{path}/meta").write.text(str(tmp_path / "cut" / "meta"))
+    with pytest.raises(ValueError, match="not whole"):
+        hamming.BandStore.open(spark, str(tmp_path / "cut"))
+    hamming.MihIndex.build(lib, stamp="s").write(str(tmp_path / "mih"))
+    index = hamming.MihIndex.open(spark, str(tmp_path / "mih"), "s")
+    for radius in (0, 7, 12):
+        assert sorted(index.query(probes, radius).collect()) == sorted(hamming.brute_join(probes, lib, radius).collect())
+    with pytest.raises(ValueError, match="format"):
+        hamming.MihIndex.open(spark, path)
+    found = {r.qid: r.distance for r in hamming.by_distance(index.query(probes, 7)).collect() if r.qid == r.pid}
+    assert len(found) == 100 and set(found.values()) == {7}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_planned_join_is_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(hamming, "BROADCAST_KEYS", most)
+    lib = generate.uniform_codes(spark, 400).persist()
+    probes = generate.probe_mix(lib, 400, 60, 12).persist()
+    assert hamming.plan(12, 60, 400)[1] == bool(most)
+    for radius in (4, 12):
+        assert sorted(hamming.hamming_join(probes, lib, radius).collect()) == sorted(hamming.brute_join(probes, lib, radius).collect())
+
+
 def obs(spark, rows):
     out = [(c, v, *codes.lanes_of_int(s), f, list(t), i, k) for k, (c, v, s, f, t, i) in enumerate(rows)]
     return spark.createDataFrame(out, "coord string, version string, hi long, lo long, fqcn string, strings array<string>, instructions int, seq long")
@@ -125,6 +161,10 @@ def test_pack_guards_and_description(spark, tmp_path):
     assert pack.read_meta(spark, str(tmp_path / "none")) == {}
     with pytest.raises(FileNotFoundError):
         pack.describe_pack(spark, str(tmp_path / "none"))
+    pack_at(spark, str(tmp_path / "other"))
+    spark.read.parquet(str(tmp_path / "other" / "payloads")).withColumn("sig_stamp", F.lit("stamp-b")).write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(ValueError, match="payloads"):  # as many, of another stamp
+        pack.read_pack(spark, path)
     entries.where("payload_id = 0").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(ValueError):
         pack.read_pack(spark, path)
@@ -210,9 +250,10 @@ def test_cached_files(spark, tmp_path):
     rows = readers.iter_cached_sigs(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r.fqcn, r.hi, r.lo, r.instructions) for r in rows] == [("x.Y", 0, 255, 21), ("x.Z", 0, 0, 3)]
     assert rows[0].strings == ["pre-\\ud800-post", "ok \U0001f600"]
+    (tmp_path / "a__b" / "b-5.sigs.json").write_text(head.replace('"1"', '"5"') + '[\n ["x.W", "1", [], 3]\n]\n}\n')
     readers.save_sigs(readers.iter_cached_sigs(spark, str(tmp_path)), str(tmp_path / "out"))
     again = readers.load_sigs(spark, str(tmp_path / "out" / "*" / "*.json"))
-    assert sorted(again.select("fqcn", "lo").collect()) == [("x.Y", 255), ("x.Z", 0)]
+    assert sorted(again.select("version", "fqcn", "lo").collect()) == [("1", "x.Y", 255), ("1", "x.Z", 0), ("5", "x.W", 1)]
 
 
 def test_mapping_and_metadata(spark):
@@ -223,6 +264,37 @@ def test_mapping_and_metadata(spark):
     assert [r.version for r in readers.list_versions(xml).orderBy("pos").collect()] == ["1", "2"]
 
 
+def test_builds_and_inversion(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "a.A -> o:"), (2, "b.B -> o:"), (3, "a.A -> p:"), (4, "z.Z -> q:"), (5, "c.C -> q:")], "lineno int, line string")
+    assert sorted(map(tuple, readers.invert(readers.mapping_in_order(lines)).collect())) == [("o", "b.B"), ("p", "a.A"), ("q", "c.C")]
+    spark.createDataFrame([("o", 1, 2)], "fqcn string, hi long, lo long").write.parquet(str(tmp_path / "rows"))
+    (tmp_path / "map.txt").write_text("a.A -> o:\n")
+    rows, mapping = readers.load_build(spark, f"file:{tmp_path}/rows:{tmp_path}/map.txt")
+    assert rows.count() == 1 and mapping.first().obfuscated == "o"
+    with pytest.raises(ValueError):
+        readers.load_build(spark, "rows")
+
+
+def test_scrape_plan(spark):
+    versions = spark.createDataFrame([("a:a", "1.0", 0), ("a:a", "2.0", 1), ("b:b", "1.0", 0)], "coord string, version string, pos int")
+    cached = spark.createDataFrame([("a:a", "1.0", "s", None)], "coord string, version string, sig_stamp string, digest string")
+    there = spark.createDataFrame([("a:a-jvm", "2.0", "jar")], "coord string, version string, packaging string")
+    plan = sampling.scrape_plan(versions, cached, there, "s")
+    assert {(r.coord, r.version): (r.status, r.artifact) for r in plan.collect()} == {("a:a", "1.0"): ("cached", None), ("a:a", "2.0"): ("fetch", "a:a-jvm"), ("b:b", "1.0"): ("failed", None)}
+    assert tuple(sampling.fetch_counters(plan).first()) == (2, 1)
+
+
+def test_held_tables_follow_the_data(spark, tmp_path):
+    from sigloom.plans import projections
+
+    one = spark.createDataFrame([(1, "some words of text", "s")], "doc_id long, text string, source string")
+    one.write.parquet(str(tmp_path / "documents.parquet"))
+    assert projections.doc_codes(spark, str(tmp_path)).count() == 1
+    one.union(one.withColumn("doc_id", F.lit(2))).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    assert projections.doc_codes(spark, str(tmp_path)).count() == 2
+    projections.release()
+
+
 def test_study(spark):
     rows = [("okio.A", 0, 0, 0, 0), ("okio.B", 0, 0, 0, 1), ("app.C", 0, 7, 0, 0)]
     drifted = study.drift(spark.createDataFrame(rows, "original string, x_hi long, x_lo long, y_hi long, y_lo long"))
@@ -249,3 +321,38 @@ def test_stream_labels_new_files(spark, tmp_path):
         q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.qid, r.tier) for r in out.collect()) == [(0, 1), (1, 2)]
+
+
+def test_stream_of_new_files(spark, tmp_path):
+    from sigloom.streaming.incremental import new_observations
+
+    for k in range(2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.json").write_text(f'{{"coord": "a:a", "version": "{k}"}}\n')
+        new_observations(spark, str(tmp_path / "in"), "coord string, version string", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.version for r in out) == ["0", "1"] and len({r.path for r in out}) == 2
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sigloom import cli
+
+    rows = [(OKHTTP, v, S(k), f"c.{k}", [f"tag-{k}"], 30) for k in range(6) for v in ORDER[:2]] + [(OKHTTP, "3.12.0", S(9), "c.9", [], 3)]
+    obs(spark, rows).withColumn("sig_stamp", F.lit("s")).write.parquet(str(tmp_path / "obs"))
+    codes_df(spark, [(k, S(k) ^ (k == 3)) for k in range(6)], "qid").selectExpr("*", "array() as strings", "50 as instructions").withColumn("strings", F.array().cast("array<string>")).write.parquet(str(tmp_path / "app"))
+    path, out = str(tmp_path / "pack"), str(tmp_path / "out")
+    cli.main(["build", str(tmp_path / "obs"), path, "--stamp", "s"], spark)
+    cli.main(["info", path], spark)
+    said = capsys.readouterr().out
+    assert "classes_seen" in said and "n_entries" in said
+    cli.main(["--out", out, "detect", path, str(tmp_path / "app"), "--stamp", "s"], spark)
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(OKHTTP, 6, 5, 1, 0)]
+    cli.main(["--out", out, "query", path, f"{S(2) ^ 5:x}"], spark)
+    assert [(r.payload_id, r.distance, r.label) for r in spark.read.parquet(out).collect()] == [(2, 2, f"library:{OKHTTP}@3.12.0..3.14.9")]
+    with pytest.raises(storage.StaleStoreError):
+        cli.main(["query", path, "0", "--stamp", "other"], spark)
+    names_ = {"versions": ("coord string, version string, pos int", [("a:a", "1.0", 0)]), "cached": ("coord string, version string, sig_stamp string, digest string", []), "there": ("coord string, version string, packaging string", [("a:a", "1.0", "aar")])}
+    for k, (schema, data) in names_.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / k))
+    cli.main(["scrape", *[str(tmp_path / k) for k in names_], "--stamp", "s"], spark)
+    assert "ok 1, failed 0" in capsys.readouterr().out
