@@ -74,16 +74,13 @@ def suggest_m(n: int) -> int:
     return 6 if n < 2 else min(16, max(6, BITS // max(1, math.ceil(math.log2(n)))))
 
 
-def choose_bands(radius: int, n_codes: int, probe_cost: float = 50.0) -> int:
-    """The number of bands with the least cost for uniform codes: keys a probe emits, and
-    candidates it meets. ``radius + 1`` bands need no flips at all."""
-
-    def cost(m: int) -> float:
-        probes = sum(len_flips(w, radius // m) for _, w in bands(m))
-        met = sum(n_codes * len_flips(w, radius // m) / 2.0**w for _, w in bands(m))
-        return probes * probe_cost + met
-
-    return min(range(2, max(3, radius + 2)), key=cost)
+def thresholds(radius: int, m: int) -> list[int]:
+    """Of each band the flips to look up, -1 for none at all: codes within the radius keep
+    to it in one band at least, since to pass all of them takes radius + 1 bits. Wide bands,
+    where a flip more costs most keys, get the smaller ones."""
+    t = radius // m
+    more = radius - m * t + 1
+    return [t - 1] * (m - more) + [t] * more
 
 
 def len_flips(width: int, radius: int) -> int:

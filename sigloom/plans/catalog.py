@@ -51,7 +51,7 @@ def hamming_mih_r4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("hamming_mih_r12", f"{DOC_SQL}, {_near(12)} SELECT qid, pid, distance FROM near")
 def hamming_mih_r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming.hamming_join(app(spark, sf_dir), library(spark, sf_dir), 12, m=8)
+    return hamming.hamming_join(app(spark, sf_dir), library(spark, sf_dir), 12)
 
 
 @register("hamming_exact", f"{DOC_SQL}, {_near(0)} SELECT qid, pid, distance FROM near")

@@ -31,7 +31,7 @@ def test_hex_and_lanes(spark):
         assert (r.hi, r.lo) == codes.lanes_of_int(v) and int(r.back, 16) == v and len(r.back) == 32
 
 
-@pytest.mark.parametrize(("radius", "m"), [(0, None), (4, 5), (4, 6), (12, 8), (20, 13)])
+@pytest.mark.parametrize(("radius", "m"), [(0, None), (4, 5), (4, 6), (4, 9), (12, 7), (12, 8), (12, 10), (20, 13)])
 def test_banded_join_is_exact(spark, radius, m):
     r = random.Random(42)
     lib = [(k, r.getrandbits(128)) for k in range(300)] + [(900, 5), (901, 5)]
@@ -58,6 +58,14 @@ def test_band_layouts():
         codes.permutations(0, 1)
 
 
+def test_thresholds_leave_nothing_out():
+    for radius in range(0, 25):
+        for m in range(1, 17):
+            t = codes.thresholds(radius, m)
+            # The least number of bits that passes every band's threshold.
+            assert len(t) == m and sum(x + 1 for x in t) == radius + 1 and max(t) == radius // m
+
+
 def test_best_match_prefers_near_then_first(spark):
     lib = codes_df(spark, [(1, 7), (2, 6), (3, 7)], "pid")
     hits = hamming.hamming_join(codes_df(spark, [(9, 7), (8, 4)], "qid"), lib, 8)
@@ -105,7 +113,7 @@ def test_planned_join_is_exact(spark, monkeypatch, most):
     monkeypatch.setattr(hamming, "BROADCAST_KEYS", most)
     lib = generate.uniform_codes(spark, 400).persist()
     probes = generate.probe_mix(lib, 400, 60, 12).persist()
-    assert hamming.plan(12, 60, 400)[1] == bool(most)
+    assert hamming.plan(4, 60, 400)[1] == bool(most)
     for radius in (4, 12):
         assert sorted(hamming.hamming_join(probes, lib, radius).collect()) == sorted(hamming.brute_join(probes, lib, radius).collect())
 
