@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables ``written`` inside go at its end, but for those put into the list it gives."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        made = _open.pop()
+        dropped(*[df for df in made if not any(df is k for k in kept)])
+        if _open:
+            _open[-1].extend(kept)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again: lineage ends
-    here and survives lost executors. The files go with ``dropped``, or when the driver's
-    JVM ends."""
+    here and survives lost executors. The files go with ``dropped`` or ``scratch``, or
+    when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sigloom-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -49,6 +67,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sigloom_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 

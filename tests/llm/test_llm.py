@@ -913,3 +913,18 @@ def test_dirty_tables(spark, docs):
     empty = dirty.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).isEmpty()
+
+
+def test_pipeline_leaves_only_its_result(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from sigloom.llm.common import shared_dir
+
+    there = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(there)) if os.path.isdir(there) else set()
+    out = corpus_pipeline.run(spark, SF)
+    rows = out.count()
+    left = {x for x in set(os.listdir(there)) - before if x.startswith("sigloom-")}
+    assert left == {os.path.basename(out._sigloom_path)} and 0 < rows <= 200
+    assert out.columns[-2:] == ["shard", "slot"] and out.select("shard", "slot").distinct().count() == rows
