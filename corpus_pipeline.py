@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm import decontaminate, language, mixing, sharding, simhash
-from sigloom.llm.common import table, written
+from sigloom.llm.common import dropped, scratch, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,7 +26,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on its way goes when it is done, and its
+    input when the next one's is there."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        with scratch() as kept:
+            after = written(stage(spark, docs, sf_dir))
+            kept.append(after)
+        if k:
+            dropped(docs)
+        docs = after
     return docs
