@@ -65,6 +65,9 @@ def written(df: DataFrame) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
+    # Nothing reads the shuffles before this point again. Spark deletes their files once the
+    # driver's JVM has collected the plan, which else may be half an hour later.
+    jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._sigloom_path = path
     if _open:

@@ -110,15 +110,19 @@ def keepers(lines: DataFrame) -> DataFrame:
         full = full.withColumn(f"g{k}", g)
     place = F.struct(*PLACE)
     distinct = written(full.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_rows"), *[F.min(f"g{k}").alias(f"g{k}") for k in range(4)]))
-    halves = distinct.select("h", "h2", "first", F.explode(F.array_distinct(F.array(*[f"g{k}" for k in range(4)]))).alias("g")).where("g is not null")
+    # By one hash of the line alone: should two share it, one line too many is looked at.
+    halves = distinct.select("h", F.explode(F.array_distinct(F.array(*[f"g{k}" for k in range(4)]))).alias("g")).where("g is not null")
     shared = halves.groupBy("g").count().where("count > 1").select("g")
-    picked = halves.join(shared, "g", "left_semi").select("h", "h2", *[f"first.{c}" for c in PLACE]).distinct()
-    found = full.select(*PLACE, "h", "h2", "n", "line").alias("l").join(picked.alias("p"), F.expr("l.th = p.th and l.line_no = p.line_no and l.id <=> p.id and l.h = p.h and l.h2 = p.h2"), "left_semi")
+    near_ones = written(halves.join(shared, "g", "left_semi").select("h").distinct())
+    picked = distinct.join(near_ones, "h", "left_semi").select("h", "h2", *[f"first.{c}" for c in PLACE])
+    found = lines.select(*PLACE, "line").alias("l").join(picked.alias("p"), F.expr("l.th = p.th and l.line_no = p.line_no and l.id <=> p.id")).select("l.*", "p.h", "p.h2")
     # A document that is written twice gives its lines twice.
-    texts = written(found.dropDuplicates(["h", "h2"]))
+    texts = written(found.dropDuplicates(["h", "h2"]).withColumn("n", n_words(F.col("line"))))
     keys = written(variants(texts))
-    leads = written(keys.groupBy("key").agg(*[F.min(F.when(F.col("side") == k, place)).alias(f"lead{k}") for k in range(3)], F.count("*").alias("n_rows")).where("n_rows > 1"))
-    pairs = with_leads(keys, leads, ["key"], "n_rows", PLACE).withColumn("lead", F.expr("case wants when 0 then lead0 when 1 then lead1 else lead2 end"))
+    # A key has gaps only, or whole lines and lines less a word.
+    low = [F.min(F.when(F.col("side") < 2, place)).alias("lead1"), F.min(F.when(F.col("side") == 2, place)).alias("lead2")]
+    leads = written(keys.groupBy("key").agg(*low, F.count("*").alias("n_rows")).where("n_rows > 1"))
+    pairs = with_leads(keys.drop("side"), leads, ["key"], "n_rows", PLACE).withColumn("lead", F.when(F.col("wants") < 2, F.col("lead1")).otherwise(F.col("lead2")))
     pairs = pairs.where(place > F.col("lead")).select(*PLACE, "lead").distinct().select("lead", F.col("th").alias("t1"), F.col("line_no").alias("k1"), F.col("lead.th").alias("t2"), F.col("lead.line_no").alias("k2"))
     # The first place of a line names it by its text and line number alone.
     own = texts.select(F.col("th").alias("t1"), F.col("line_no").alias("k1"), "h", "h2", F.col("line").alias("a"))
@@ -155,4 +159,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def op9_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_lines(table(spark, sf_dir, "documents"))
+    return removed_lines(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
