@@ -21,9 +21,9 @@ it judges whole texts. Its features are the words, their first bytes, and the en
 their punctuation, that tell the domains apart at ``Z`` standard deviations or more; a
 softmax over their presence.
 
-Scale: one pass over the texts; a slim table of tokens and posteriors is kept, and each
-step is one aggregate over it that returns a number a domain. The rates are not stored
-between steps: they follow from the few gradients so far.
+Scale: one pass over the texts; each step is one aggregate over the tokens and posteriors
+kept of it, in numpy, that returns a number a domain. The rates are not stored between
+steps: they follow from the few gradients so far.
 
 A null text has no tokens and the posteriors of an empty text. Labels that are null, or
 of documents that are not there, teach nothing; an id labelled twice counts by its least
@@ -169,7 +169,7 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = Classifier([])
         there.domains, there.number, there.weights, there.bias = held.value
-        for b in blocks(batches):
+        for b in blocks(batches, limit=2 << 20):
             doc, feature, n = there.pairs(b.column(1))
             p = there.posteriors(doc, feature, len(n))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], names=["row", "n_tokens", "p"])
@@ -189,13 +189,25 @@ class Mix:
     gradients: list[np.ndarray]
     ridge: float
 
-    def rate(self, p: Column) -> Column:
-        """The rate that follows from the gradients."""
-        rate = F.lit(1.0)
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        """The rates that follow from the gradients."""
+        out = np.ones(len(p))
         for g in self.gradients:
-            moved = sum((F.get(p, F.lit(k)) * float(x) for k, x in enumerate(g)), F.lit(0.0))
-            rate = F.greatest(F.lit(0.0), (rate + self.ridge - moved) / (1.0 + self.ridge))
-        return rate
+            out = np.maximum(0.0, (out + self.ridge - p @ g) / (1.0 + self.ridge))
+        return out
+
+    def rate(self, p: Column) -> Column:
+        mix = Mix(self.domains, self.there, self.target, self.reached, self.settled, list(self.gradients), self.ridge)
+
+        @F.arrow_udf("double")
+        def of(p: pa.Array) -> pa.Array:
+            return pa.array(mix.rates(posteriors_of(p, len(mix.domains))))
+
+        return of(p)
+
+
+def posteriors_of(p: pa.Array, k: int) -> np.ndarray:
+    return p.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
 def share_targets(shares: dict[str, float]) -> Callable[[list[str], np.ndarray], np.ndarray]:
@@ -220,11 +232,19 @@ def fit_rates(soft: DataFrame, domains: list[str], aim: Callable[[list[str], np.
     makes of the domains and their totals."""
     k = len(domains)
 
-    def totals(rate: Column) -> np.ndarray:
-        found = soft.agg(*[F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(c))) for c in range(k)]).first()
-        return np.array([x or 0.0 for x in found])
+    def totals(mix: Mix) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(k)
+            for b in batches:
+                p = posteriors_of(b.column(1), k)
+                out += (b.column(0).to_numpy() * mix.rates(p)) @ p
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(out)], names=["domain", "total"])
+
+        found = soft.select("n_tokens", "p").mapInArrow(run, "domain int, total double").groupBy("domain").agg(F.sum("total")).collect()
+        return np.array([dict(map(tuple, found)).get(c, 0.0) for c in range(k)])
 
-    there = totals(F.lit(1.0))
+    none = np.zeros(k)
+    there = totals(Mix(domains, none, none, none, False, [], ridge))
     mix = Mix(domains, there, np.asarray(aim(domains, there), dtype=float), there, False, [], ridge)
     while True:
         # A domain with no tokens at all cannot be matched and is left alone.
@@ -233,7 +253,7 @@ def fit_rates(soft: DataFrame, domains: list[str], aim: Callable[[list[str], np.
         if mix.settled or len(mix.gradients) == STEPS:
             return mix
         mix.gradients.append(g)
-        mix.reached = totals(mix.rate(F.col("p")))
+        mix.reached = totals(mix)
 
 
 def rated(docs: DataFrame, labels: DataFrame, aim: Callable[[list[str], np.ndarray], np.ndarray], ridge: float = RIDGE) -> tuple[DataFrame, Mix]:
