@@ -111,11 +111,11 @@ def borders(df: DataFrame, dims: list[str], bits: int = BITS) -> list[list[tuple
         before[k] = totals[k] = offsets[p, k] + n
     if not totals:
         return [[] for _ in dims]
-    start = F.create_map(*[F.lit(x) for (p, k), n in offsets.items() for x in (p * len(dims) + k, n)])
-    total = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, n)])
+    parts = 1 + max(p for p, _ in offsets)
+    start, total = (F.array(*[F.lit(x).cast("long") for x in side]) for side in ([offsets.get((p, k), 0) for p in range(parts) for k in range(len(dims))], [totals.get(k, 1) for k in range(len(dims))]))
     upto = Window.partitionBy("p", "k").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = values.withColumn("p", part).withColumn("below", start[F.col("p") * len(dims) + F.col("k")] + F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    cell = F.floor(F.col("below") * F.lit(1 << bits) / total[F.col("k")]).cast("int")
+    placed = values.withColumn("p", part).withColumn("below", F.get(start, (F.col("p") * len(dims) + F.col("k")).cast("int")) + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    cell = F.floor(F.col("below") * F.lit(1 << bits) / F.get(total, F.col("k"))).cast("int")
     least = placed.groupBy("k", cell.alias("cell")).agg(F.min(F.struct("x", "s")).alias("v")).collect()
     out = [[] for _ in dims]
     for k, cell, v in sorted(map(tuple, least), key=lambda r: r[:2]):
