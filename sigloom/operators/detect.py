@@ -37,7 +37,7 @@ class Detector:
         """(qid, payload_id, tier, distance, score) of app classes (qid, hi, lo, strings);
         a class without a hit has nulls. Strings are only asked where no code is near."""
         # Asked for twice below, so the join's slim result is written once.
-        by_code = checkpointed(hamming.best_match(hamming.hamming_join(app.select("qid", "hi", "lo"), self.entries.select("pid", "hi", "lo"), self.radius)))
+        by_code = checkpointed(hamming.best_join(app.select("qid", "hi", "lo"), self.entries.select("pid", "hi", "lo"), self.radius))
         tier = F.when(F.col("distance") == 0, 1).otherwise(2)
         near = by_code.select("qid", F.col("pid").alias("payload_id"), tier.alias("tier"), F.col("distance").cast("int"), F.lit(1.0).alias("score"))
         rest = app.select("qid", "strings").join(near.select("qid"), "qid", "left_anti")

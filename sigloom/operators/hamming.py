@@ -8,7 +8,8 @@ exploded with all their flips, bands of the right ones as they are, the join is
 are shuffled on. Codes are made distinct on both sides first: copies of a code would
 multiply candidates. The number of bands follows from both sides' counts; a few probes
 (``BROADCAST_KEYS`` keys at most, counted) are broadcast, so that the library is streamed
-past them and not shuffled.
+past them and not shuffled. Otherwise the join is a merge join by a hint: Spark's estimate
+of exploded keys leaves out how many they are, and would have the driver gather them all.
 """
 
 from __future__ import annotations
@@ -47,8 +48,14 @@ def code_pairs(left: DataFrame, right: DataFrame, radius: int, m: int | None = N
     small = False
     if m is None:
         m, small = plan(radius, left.count(), right.count())
-    a, b = probe_keys(a, m, radius), band_keys(b, m)
-    return met(F.broadcast(a) if small else a, b, radius)
+    a, b = probe_keys(a if small else _dealt(a), m, radius), band_keys(b, m)
+    return met(a, b, radius, small)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as a shuffle has: codes are so slim that a task or two
+    would get them all, and explode them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns)
 
 
 def plan(radius: int, n_left: int, n_right: int) -> tuple[int, bool]:
@@ -87,8 +94,10 @@ def band_keys(rows: DataFrame, m: int) -> DataFrame:
     return rows.withColumn("at", F.explode(F.array(*each))).select(*rows.columns, "at.band", "at.key")
 
 
-def met(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
-    """Distinct code pairs of probe keys and band keys within the radius."""
+def met(a: DataFrame, b: DataFrame, radius: int, small: bool = False) -> DataFrame:
+    """Distinct code pairs of probe keys and band keys within the radius; ``small`` probe
+    keys are broadcast, and nothing is otherwise."""
+    a = F.broadcast(a) if small else a.hint("merge")
     hit = (a.band == b.band) & (a.key == b.key) & (distance() <= radius)
     return a.join(b, hit).select("l_hi", "l_lo", "r_hi", "r_lo").distinct().withColumn("distance", distance())
 
@@ -125,6 +134,16 @@ def best_match(hits: DataFrame) -> DataFrame:
     return best.select("qid", F.col("b.pid").alias("pid"), F.col("b.distance").alias("distance"))
 
 
+def best_join(left: DataFrame, right: DataFrame, radius: int, m: int | None = None) -> DataFrame:
+    """``best_match`` of ``hamming_join`` without a row for each pair of copies: of the rows
+    with one code the least pid goes for all."""
+    pairs = code_pairs(left, right, radius, m)
+    first = right.groupBy(F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo")).agg(F.min("pid").alias("pid"))
+    best = pairs.join(first, ["r_hi", "r_lo"]).groupBy("l_hi", "l_lo").agg(F.min(F.struct("distance", "pid")).alias("b"))
+    rows = left.select("qid", F.col("hi").alias("l_hi"), F.col("lo").alias("l_lo"))
+    return best_match(rows.join(best, ["l_hi", "l_lo"]).select("qid", "b.pid", "b.distance"))
+
+
 def by_distance(hits: DataFrame) -> DataFrame:
     """Hits of each probe, nearest first, then by pid."""
     return hits.orderBy("qid", "distance", "pid")
@@ -159,7 +178,7 @@ class MihIndex:
     def query(self, probes: DataFrame, radius: int) -> DataFrame:
         """(qid, pid, distance) of probes (qid, hi, lo), see ``hamming_join``."""
         a, _ = _sides(probes, self.entries)
-        return expanded(met(probe_keys(a, self.m, radius), self.keys, radius), probes, self.entries)
+        return expanded(met(probe_keys(_dealt(a), self.m, radius), self.keys, radius), probes, self.entries)
 
 
 class BandStore:

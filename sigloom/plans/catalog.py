@@ -69,7 +69,7 @@ _BEST = "SELECT qid, pid, distance FROM (SELECT *, row_number() OVER (PARTITION
 
 @register("best_match", f"{DOC_SQL}, {_near(12)} {_BEST}")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming.best_match(hamming.hamming_join(app(spark, sf_dir), library(spark, sf_dir), 12))
+    return hamming.best_join(app(spark, sf_dir), library(spark, sf_dir), 12)
 
 
 @register("index_cardinality", f"{DOC_SQL} SELECT count(*) AS entries, count(DISTINCT (hi, lo)) AS codes FROM lib")
@@ -561,7 +561,7 @@ app AS MATERIALIZED (SELECT qid, CASE WHEN near THEN {_flips_sql("l.hi", 12)} EL
 @register("generated_probes", _GENERATED)
 def generated_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = generate.uniform_codes(spark, 20_000)
-    return hamming.best_match(hamming.hamming_join(generate.probe_mix(lib, 20_000, 2_000, 12), lib, 12, m=8))
+    return hamming.best_join(generate.probe_mix(lib, 20_000, 2_000, 12), lib, 12, m=8)
 
 
 # -- Drift and evaluation -----------------------------------------------------------------
