@@ -634,8 +634,9 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # text begins with the same 40 characters.
     begins = documents(spark, sf_dir).where("length(text) >= 40").select("doc_id", F.substring("text", 1, 40).alias("lead"))
     mine = app(spark, sf_dir).select("doc_id", "qid").join(begins, "doc_id").select("qid", "lead")
-    pairs = mine.join(lib.select("doc_id", "pid", "coord").join(begins, "doc_id").select("pid", "coord", "lead"), "lead")
-    first = pairs.groupBy("qid").agg(F.min(F.struct("pid", "coord")).alias("f"))
+    # The first of each beginning, before the join: many begin alike, on both sides.
+    leads = lib.select("doc_id", "pid", "coord").join(begins, "doc_id").groupBy("lead").agg(F.min(F.struct("pid", "coord")).alias("f"))
+    first = mine.join(leads, "lead").groupBy("qid").agg(F.min("f").alias("f"))
     truth = first.select("qid", "f.pid", "f.coord").select("qid", name.alias("original"))
     return found, truth
 
