@@ -107,15 +107,17 @@ DOC_SQL = f"""WITH RECURSIVE dw AS (
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(coord, version, hi, lo, fqcn, strings, instructions, seq, sig_stamp)."""
     line, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
-    rows = line.join(part, line.l_partkey == part.p_partkey)
+    # Codes are those of parts, not of their many lines.
     h = F.md5(F.concat("p_name", "p_type").cast("binary"))
     lanes = [F.conv(F.substring(h, at, 16), 16, -10).cast("long") for at in (1, 17)]
+    part = part.select("p_partkey", "p_brand", "p_name", lanes[0].alias("hi"), lanes[1].alias("lo"))
+    rows = line.join(part, line.l_partkey == part.p_partkey)
     day = F.col("l_shipdate")
     return rows.select(
         F.col("p_brand").alias("coord"),
         (F.year(day) * 100 + F.month(day)).cast("string").alias("version"),
-        lanes[0].alias("hi"),
-        lanes[1].alias("lo"),
+        "hi",
+        "lo",
         F.col("p_name").alias("fqcn"),
         F.split("p_name", " ").alias("strings"),
         F.col("l_quantity").cast("int").alias("instructions"),
