@@ -135,6 +135,23 @@ def test_exploded_keys_are_not_broadcast(spark, monkeypatch, tmp_path, way):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_all_pairs_are_dealt_out_as_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(hamming, "BLOCK", 100)
+    lib = [(k, r.getrandbits(128)) for k in range(400)] + [(900, 5), (901, 5)]
+    app = [(q, r.choice(lib)[1] ^ 1 << q % 128) for q in range(700)]
+    a, b = codes_df(spark, app, "qid"), codes_df(spark, lib, "pid")
+    for radius in (0, 12, 60):
+        out = hamming.brute_join(a, b, radius)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # One row a block on either side, so that no task holds more, and no side is broadcast.
+        assert "MapInArrow compare" in plan and plan.count("LogicalRDD") >= 2
+        want = sorted((q, p, (x ^ y).bit_count()) for q, x in app for p, y in lib if (x ^ y).bit_count() <= radius)
+        assert sorted(map(tuple, out.collect())) == want
+    assert hamming.brute_join(a, b.where("pid < 0"), 12).count() == 0
+    assert [hamming.block_count(n) for n in (0, 1, 700, 4096, 100_000)] == [1, 1, 7, 41, 1000]
+
+
 def test_best_join_meets_no_pairs_of_copies(spark):
     lib = codes_df(spark, [(k, 7) for k in range(400)] + [(900, 6), (901, 6)], "pid")
     probes = codes_df(spark, [(k, 7) for k in range(400)] + [(1000, 4), (1001, S(5)), (1001, 6)], "qid")
