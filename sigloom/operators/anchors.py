@@ -25,22 +25,29 @@ def useful_strings(strings: Column) -> Column:
 
 
 def _exploded(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, F.explode(useful_strings(F.col("strings"))).alias("string"))
+    """(key, string), once each, of strings long enough. Whether they are digits is only
+    asked of rare ones, see ``AnchorIndex``."""
+    return rows.select(key, F.explode(F.array_distinct("strings")).alias("string")).where(F.length("string") >= MIN_LENGTH)
+
+
+def _idf(df: Column) -> Column:
+    """The weight of a string that df of n entries have, n from the one row of a count."""
+    return F.ln((F.col("n") + F.lit(1.0)) / df) / F.when(F.col("n") > 0, F.ln(F.col("n") + F.lit(1.0))).otherwise(1.0)
 
 
 class AnchorIndex:
     """Postings (string, pid, df, idf) of entries (pid, strings)."""
 
     def __init__(self, entries: DataFrame, max_frequency: int = MAX_FREQUENCY):
-        total = entries.agg(F.count("*").alias("n"))
+        self.max_frequency = max_frequency
+        self.total = entries.agg(F.count("*").alias("n"))
         # Of a string one place more than allowed is enough to know that it is too common:
         # the limit is applied before rows are shuffled, so frequent strings never meet.
         first = Window.partitionBy("string").orderBy("pid")
         few = _exploded(entries, "pid").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_frequency + 1)
-        rare = few.withColumn("df", F.count("*").over(Window.partitionBy("string"))).where(F.col("df") <= max_frequency)
-        # One row: the number of entries.
-        norm = F.when(F.col("n") > 0, F.ln(F.col("n") + F.lit(1.0))).otherwise(1.0)
-        self.postings = rare.join(F.broadcast(total)).withColumn("idf", F.ln((F.col("n") + F.lit(1.0)) / F.col("df")) / norm).select("string", "pid", "df", "idf")
+        rare = few.withColumn("df", F.count("*").over(Window.partitionBy("string"))).where((F.col("df") <= max_frequency) & is_useful(F.col("string")))
+        self._rare = rare.select("string", "pid", "df")
+        self.postings = rare.join(F.broadcast(self.total)).withColumn("idf", _idf(F.col("df"))).select("string", "pid", "df", "idf")
         self.strings = self.postings.dropDuplicates(["string"]).drop("pid")
 
     def size(self) -> int:
@@ -48,10 +55,13 @@ class AnchorIndex:
 
     def query(self, probes: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         """(qid, pid, score) of probes (qid, strings) that share enough."""
-        shared = _exploded(probes, "qid").join(self.postings, "string")
-        by_df = shared.groupBy("qid", "pid", "df", "idf").agg(F.count("*").alias("c"))
-        score = by_df.groupBy("qid", "pid").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("df", (F.col("c") * F.col("idf")).alias("w")))), F.lit(0.0), lambda acc, x: acc + x["w"]).alias("score"))
-        return score.where(F.round("score", 12) >= min_score)
+        # Dealt out by qid once, for the sums here and the best of each.
+        shared = _exploded(probes, "qid").join(self._rare, "string").select("qid", "pid", "df").repartition("qid")
+        by_df = shared.groupBy("qid", "pid").agg(*[F.count_if(F.col("df") == k).alias(f"_{k}") for k in range(1, self.max_frequency + 1)])
+        score = F.lit(0.0)
+        for k in range(1, self.max_frequency + 1):
+            score = score + F.col(f"_{k}") * _idf(F.lit(k))
+        return by_df.join(F.broadcast(self.total)).select("qid", "pid", score.alias("score")).where(F.round("score", 12) >= min_score)
 
     def best(self, probes: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         """Of each qid the hit with the highest score, the least pid among equals."""

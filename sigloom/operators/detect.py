@@ -15,12 +15,14 @@ RADIUS, MIN_INSTRUCTIONS, MIN_CLASSES = 4, 20, 5
 
 class Detector:
     """Entries (payload_id, hi, lo, strings), and optional metadata (payload_id, coord,
-    ranges, fqcn)."""
+    ranges, fqcn). Strings may lie in a table of their own (payload_id, strings), which need
+    not be joined to the codes then."""
 
-    def __init__(self, entries: DataFrame, payloads: DataFrame | None = None, radius: int = RADIUS):
+    def __init__(self, entries: DataFrame, payloads: DataFrame | None = None, radius: int = RADIUS, strings: DataFrame | None = None):
         self.entries = entries.withColumnRenamed("payload_id", "pid")
         self.payloads, self.radius = payloads, radius
-        self.index = anchors.AnchorIndex(self.entries.select("pid", "strings"))
+        texts = self.entries if strings is None else strings.withColumnRenamed("payload_id", "pid")
+        self.index = anchors.AnchorIndex(texts.select("pid", "strings"))
 
     @classmethod
     def build(cls, entries: DataFrame, radius: int = RADIUS) -> Detector:
@@ -33,15 +35,17 @@ class Detector:
         entries, payloads, _ = pack.read_pack(spark, path, expect_stamp)
         return cls(entries, payloads, radius)
 
-    def detect(self, app: DataFrame) -> DataFrame:
-        """(qid, payload_id, tier, distance, score) of app classes (qid, hi, lo, strings);
-        a class without a hit has nulls. Strings are only asked where no code is near."""
+    def detect(self, app: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+        """(qid, payload_id, tier, distance, score) of app classes (qid, hi, lo, strings),
+        or without strings, which lie in a table of their own (qid, strings) then; a class
+        without a hit has nulls. Strings only speak where no code is near."""
         # Asked for twice below, so the join's slim result is written once.
         by_code = checkpointed(hamming.best_join(app.select("qid", "hi", "lo"), self.entries.select("pid", "hi", "lo"), self.radius))
         tier = F.when(F.col("distance") == 0, 1).otherwise(2)
         near = by_code.select("qid", F.col("pid").alias("payload_id"), tier.alias("tier"), F.col("distance").cast("int"), F.lit(1.0).alias("score"))
-        rest = app.select("qid", "strings").join(near.select("qid"), "qid", "left_anti")
-        shared = self.index.best(rest).select("qid", F.col("pid").alias("payload_id"), F.lit(3).alias("tier"), F.lit(-1).alias("distance"), "score")
+        # Slim hits are joined to codes, and not the strings that lead to them.
+        best = self.index.best((app if strings is None else strings).select("qid", "strings")).join(near.select("qid"), "qid", "left_anti")
+        shared = best.select("qid", F.col("pid").alias("payload_id"), F.lit(3).alias("tier"), F.lit(-1).alias("distance"), "score")
         return app.select("qid").join(near.unionByName(shared), "qid", "left")
 
     def resolve(self, detections: DataFrame) -> DataFrame:

@@ -245,34 +245,33 @@ payloads AS (SELECT pid, coord, CASE WHEN pid % 3 = 0 THEN []::VARCHAR[] ELSE ['
 
 
 def _detector(spark: SparkSession, sf_dir: str, radius: int = 4) -> detect.Detector:
-    lib = library(spark, sf_dir).join(doc_strings(spark, sf_dir), "doc_id")
-    # The text index counts all library documents, also those without a code.
-    whole = doc_strings(spark, sf_dir).where("doc_id % 2 = 0").join(doc_codes(spark, sf_dir), "doc_id", "left")
-    entries = whole.select(F.col("doc_id").alias("payload_id"), "hi", "lo", "strings")
+    lib = library(spark, sf_dir)
     ranges = F.when(F.col("pid") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("v"), (F.col("n_words") % 7).cast("string")), F.lit("w")))
     payloads = lib.select(F.col("pid").alias("payload_id"), "coord", ranges.alias("ranges"), F.concat(F.lit("C"), F.col("pid").cast("string")).alias("fqcn"))
-    return detect.Detector(entries, payloads, radius)
+    # The text index counts all library documents, also those without a code.
+    strings = doc_strings(spark, sf_dir).where("doc_id % 2 = 0").withColumnRenamed("doc_id", "payload_id")
+    return detect.Detector(lib.select(F.col("pid").alias("payload_id"), "hi", "lo"), payloads, radius, strings)
 
 
-def _app_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return app(spark, sf_dir).join(doc_strings(spark, sf_dir), "doc_id").select("qid", "hi", "lo", "strings")
+def _detected(spark: SparkSession, sf_dir: str, d: detect.Detector) -> DataFrame:
+    return d.detect(app(spark, sf_dir).select("qid", "hi", "lo"), _probes(spark, sf_dir))
 
 
 @register("detect_cascade", f"{_CASCADE} SELECT qid, payload_id, tier, distance, round(score, 9) AS score FROM detected")
 def detect_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detector(spark, sf_dir).detect(_app_classes(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return _detected(spark, sf_dir, _detector(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
 @register("detect_labels", f"{_CASCADE} SELECT qid, 'library:' || coord || '@' || CASE WHEN len(ranges) = 0 THEN '?' ELSE array_to_string(ranges, ',') END AS label FROM detected LEFT JOIN payloads ON pid = payload_id")
 def detect_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _detector(spark, sf_dir)
-    return d.label(d.detect(_app_classes(spark, sf_dir))).select("qid", "label")
+    return d.label(_detected(spark, sf_dir, d)).select("qid", "label")
 
 
 @register("library_report", f"{_CASCADE} SELECT coord, count(*) AS classes, count(*) FILTER (tier = 1) AS exact, count(*) FILTER (tier = 2) AS near, count(*) FILTER (tier = 3) AS by_string FROM detected JOIN payloads ON pid = payload_id GROUP BY coord HAVING count(*) >= 5")
 def library_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _detector(spark, sf_dir)
-    return detect.library_report(d.resolve(d.detect(_app_classes(spark, sf_dir))))
+    return detect.library_report(d.resolve(_detected(spark, sf_dir, d)))
 
 
 @register("probe_filter", f"{DOC_SQL} SELECT qid FROM app WHERE hi IS NOT NULL AND n_words >= 20")
@@ -629,7 +628,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d, lib = _detector(spark, sf_dir), library(spark, sf_dir)
     name = F.concat(F.lit("lib."), F.col("coord"), F.lit(".x.C"), F.col("pid").cast("string"))
     called = lib.select(F.col("pid").alias("payload_id"), name.alias("found"))
-    found = d.detect(_app_classes(spark, sf_dir)).join(called, "payload_id", "left").select("qid", "found", "tier")
+    found = _detected(spark, sf_dir, d).join(called, "payload_id", "left").select("qid", "found", "tier")
     # The truth, which neither code nor rare strings decide: the first library class whose
     # text begins with the same 40 characters.
     begins = documents(spark, sf_dir).where("length(text) >= 40").select("doc_id", F.substring("text", 1, 40).alias("lead"))

@@ -50,10 +50,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def words_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, "[ \t\r\n]+"), lambda w: F.length(w) >= WORD))
-
-
 def doc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, coord, n_words, hi, lo). Two counters of 32 bits share a long, so 64 sums
     count 128 bits; words are counted within a document before anything is grouped."""
@@ -116,7 +112,9 @@ def _counts(counters: list[str]):
 
 
 def doc_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", words_of(F.col("text")).alias("strings"))
+    """(doc_id, strings): all words, as often as they occur; the index of strings leaves
+    out short ones and repeats."""
+    return documents(spark, sf_dir).select("doc_id", F.split("text", "[ \t\r\n]+").alias("strings"))
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
