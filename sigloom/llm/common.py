@@ -219,9 +219,13 @@ _LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 def word_hashes(packed: np.ndarray, at: np.ndarray, salt: int = 0, after: int = 1) -> np.ndarray:
     """A 64-bit hash of each word of ``packed`` (see Words.pack), the same wherever the
     word stands. ``after``: how many bytes between words."""
-    start, left = at[:-1], np.diff(at) - after
-    padded = np.concatenate((packed, np.zeros(8, dtype=np.uint8)))
-    lanes = np.ndarray(len(packed) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    return hashes_at(packed, at[:-1], np.diff(at) - after, salt)
+
+
+def hashes_at(data: np.ndarray, start: np.ndarray, left: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The same hash of the words that begin at ``start`` and have ``left`` bytes."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
     out = mixed(lanes[start] & _LANE[np.minimum(left, 8)] ^ mixed(left.astype(np.uint64) + np.uint64(salt << 32)))
     more = np.flatnonzero(left > 8)
     k = 8

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import Words, blocks, flat, fold, mixed, partitions, squeeze, table, unsqueeze, word_hashes, written
+from sigloom.llm.common import Words, blocks, flat, fold, hashes_at, mixed, partitions, squeeze, table, unsqueeze, word_hashes, written
 
 FOLDS, HELD_OUT = 5, 1
 CLASSES = 32
@@ -57,16 +57,20 @@ SLICES = 48
 #: Scan partitions of a training task (fewer where cores would idle), and tasks whose sums
 #: meet in one place.
 GROUP, FAN = 8, 512
-#: Tokens whose chances are made, and are added up, at once.
-STEP, SPAN = 1 << 12, 1 << 17
-
-
-def classes_of(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The class of each word (see Words.pack); never the last one, the end's."""
-    last, size = at[1:] - 2, np.diff(at) - 1
-    code = packed[last].astype(np.uint64)
+#: Bytes of text whose tokens are made at once, and tokens whose chances are made and added
+#: up at once: small enough for a core's cache. Tokens whose chances are added up in single
+#: precision before they go into double precision.
+MODEL_BYTES, STEP, SPAN = 1 << 19, 1 << 12, 1 << 17
+#: For each digit what it adds to the hashes of a context, by node.
+SALTS = [mixed((np.arange(CLASSES * DIGITS**j) + (j + 1 << 32)).astype(np.uint64)) for j in range(DEPTH)]
+
+
+def classes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The class of each word of ``data``; never the last one, the end's."""
+    last = start + size - 1
+    code = data[last].astype(np.uint64)
     for k in (1, 2):
-        code |= np.where(size > k, packed[np.maximum(last - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+        code |= np.where(size > k, data[np.maximum(last - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
     return (mixed(code) >> np.uint64(40)).astype(np.int64) % (CLASSES - 1)
 
 
@@ -83,30 +87,28 @@ class Tokens:
 
     def __init__(self, texts: pa.Array):
         words = Words(*flat(texts, lower=True))
-        packed, at = words.pack()
-        n = len(words.first) - 1
-        doc = np.repeat(np.arange(n), np.diff(words.first) + 1)
-        index = np.arange(len(doc))
+        size = words.end - words.start
+        hashes = hashes_at(words.data, words.start, size)
+        n, count = len(words.first) - 1, np.diff(words.first)
+        doc = np.repeat(np.arange(n), count + 1)
         self.first = words.first + np.arange(n + 1)
+        self.words = np.arange(len(words)) + np.repeat(np.arange(n), count)
         before = np.full(len(words) + 2 * n, 0x1234567, dtype=np.uint64)
-        hashes = word_hashes(packed, at)
-        before[np.arange(len(words)) + 2 * (np.repeat(np.arange(n), np.diff(words.first)) + 1)] = hashes
-        one, two = before[index + doc + 1], before[index + doc]
-        shift = np.uint64(64 - TABLE_BITS)
+        at = np.arange(len(doc)) + doc
+        before[at[self.words] + 2] = hashes
+        one, two = before[at + 1], before[at]
         contexts = [one, two ^ np.uint64(0x5555), one * np.uint64(3) + two]
-        self.features = [(mixed(x) >> shift).astype(np.uint16) for x in contexts]
+        self.features = [(mixed(x) >> np.uint64(64 - TABLE_BITS)).view(np.int64) for x in contexts]
         self.classes = np.full(len(doc), CLASSES - 1)
-        ends = np.zeros(len(doc), dtype=bool)
-        ends[self.first[1:] - 1] = True
-        self.classes[~ends] = classes_of(packed, at)
-        self.words = np.flatnonzero(~ends)
+        self.classes[self.words] = classes_of(words.data, words.start, size)
         self.leaves = self.classes * LEAVES
         self.leaves[self.words] = own = leaves_of(self.classes[self.words], hashes)
-        self.levels = []
-        for j in range(DEPTH):
-            node = own // DIGITS ** (DEPTH - j)
-            salt = mixed((node + (j + 1 << 32)).astype(np.uint64))
-            self.levels.append((node, own // DIGITS ** (DEPTH - j - 1) % DIGITS, [(mixed(x[self.words] ^ salt) >> np.uint64(64 - DIGIT_BITS)).astype(np.int64) for x in contexts]))
+        contexts = [x[self.words] for x in contexts]
+        self.levels, node = [], own // LEAVES
+        for j, salts in enumerate(SALTS):
+            salt, child = salts[node], own // DIGITS ** (DEPTH - j - 1)
+            self.levels.append((node, child - node * DIGITS, [(mixed(x ^ salt) >> np.uint64(64 - DIGIT_BITS)).view(np.int64) for x in contexts]))
+            node = child
 
 
 def factors_of(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -118,29 +120,57 @@ def factors_of(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.exp(out).astype(np.float32)
 
 
+def multiplied(z: np.ndarray, factors: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised chances ``z`` times the features' rows of their tables, and the sums."""
+    rows = np.empty_like(z)
+    for f, at in zip(factors, features, strict=True):
+        # No feature is out of range; "clip" spares numpy a copy.
+        z *= np.take(f, at, axis=0, out=rows, mode="clip")
+    return z, z @ np.ones(z.shape[1], dtype=np.float32)
+
+
 def products(factors: np.ndarray, features: list[np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Unnormalised chances of the classes for tokens lo:hi, and their sums."""
-    z = np.take(factors[0], features[0][lo:hi], axis=0)
-    for t in range(1, TABLES):
-        z *= np.take(factors[t], features[t][lo:hi], axis=0)
-    return z, z @ np.ones(CLASSES, dtype=np.float32)
+    return multiplied(np.take(factors[0], features[0][lo:hi], axis=0), factors[1:], [f[lo:hi] for f in features[1:]])
+
+
+def digit_products(prior: np.ndarray, factors: np.ndarray, node: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised chances of the digits of tokens, by their nodes' prior and their
+    features, and the sums."""
+    return multiplied(np.take(prior, node, axis=0), factors, features)
 
 
 def digit_chances(prior: np.ndarray, factors: np.ndarray, node: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-    """Chances of the digits of tokens, by their nodes' prior and their features."""
-    z = np.take(prior, node, axis=0)
-    for t in range(TABLES):
-        z *= np.take(factors[t], features[t], axis=0)
-    z /= (z @ np.ones(DIGITS, dtype=np.float32))[:, None]
+    """Chances of the digits of tokens."""
+    z, total = digit_products(prior, factors, node, features)
+    z /= total[:, None]
     return z
 
 
-def digit_sums(into: np.ndarray, features: list[np.ndarray], chances: np.ndarray) -> None:
-    """Adds the chances of tokens to their features' entries."""
-    for t in range(TABLES):
-        table_ = into[t].reshape(-1, DIGITS)
-        for d in range(DIGITS):
-            table_[:, d] += np.bincount(features[t], weights=chances[:, d], minlength=len(table_))
+class Sums:
+    """Sums of tokens' chances by table and entry. Within ``SPAN`` tokens two outcomes go as
+    one complex number of single precision, which halves both the additions and the memory
+    that they hit at random."""
+
+    def __init__(self, entries: int, outcomes: int):
+        self.total = np.zeros((TABLES, entries, outcomes))
+        self.near = np.zeros(self.total.shape, dtype=np.float32)
+        self.tokens = 0
+
+    def add(self, features: list[np.ndarray], chances: np.ndarray) -> None:
+        pairs = chances.view(np.complex64)
+        for table_, f in zip(self.near.view(np.complex64), features, strict=True):
+            for d in range(pairs.shape[1]):
+                np.add.at(table_[:, d], f, pairs[:, d])
+        self.tokens += len(chances)
+        if self.tokens >= SPAN:
+            self.settled()
+
+    def settled(self) -> np.ndarray:
+        self.total += self.near
+        self.near[:] = 0
+        self.tokens = 0
+        return self.total
 
 
 def priors(mass: np.ndarray) -> list[np.ndarray]:
@@ -165,45 +195,32 @@ def _sent(sums: np.ndarray) -> pa.RecordBatch:
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of features with classes and with digits."""
-    n, m = CLASSES << TABLE_BITS, DIGITS << DIGIT_BITS
-    sums, digits = np.zeros((TABLES, n)), np.zeros((DEPTH, TABLES, m))
-    for b in blocks(batches):
+    sums, digits = np.zeros((TABLES, CLASSES << TABLE_BITS)), np.zeros((DEPTH, TABLES, DIGITS << DIGIT_BITS))
+    for b in blocks(batches, limit=MODEL_BYTES):
         t = Tokens(b.column(0))
         for k in range(TABLES):
-            sums[k] += np.bincount(t.features[k].astype(np.int64) * CLASSES + t.classes, minlength=n)
+            np.add.at(sums[k], t.features[k] * CLASSES + t.classes, 1.0)
             for j, (_, digit, features) in enumerate(t.levels):
-                digits[j, k] += np.bincount(features[k] * DIGITS + digit, minlength=m)
+                np.add.at(digits[j, k], features[k] * DIGITS + digit, 1.0)
     yield _sent(np.concatenate([sums.ravel(), digits.ravel()]))
 
 
 def _expect(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, factors, digit_factors = held.value
-        sums = np.zeros((TABLES, 1 << TABLE_BITS, CLASSES), dtype=np.float64)
-        digits = np.zeros((DEPTH, TABLES, DIGITS << DIGIT_BITS))
-        ones = np.ones(SPAN, dtype=np.float32)
-        chances = np.empty((SPAN, CLASSES), dtype=np.float32)
-        for b in blocks(batches):
+        sums = Sums(1 << TABLE_BITS, CLASSES)
+        digits = [Sums(1 << DIGIT_BITS, DIGITS) for _ in range(DEPTH)]
+        for b in blocks(batches, limit=MODEL_BYTES):
             t = Tokens(b.column(0))
-            for lo in range(0, len(t.classes), SPAN):
-                hi = min(lo + SPAN, len(t.classes))
-                for x in range(lo, hi, STEP):
-                    y = min(x + STEP, hi)
-                    z, total = products(factors, t.features, x, y)
-                    np.divide(z, total[:, None], out=chances[x - lo : y - lo])
-                for k in range(TABLES):
-                    f = t.features[k][lo:hi]
-                    order = np.argsort(f, kind="stable")
-                    f, rows, into = f[order], np.take(chances, order, axis=0), sums[k]
-                    edges = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1], [True])))
-                    # A product with ones adds up an entry's rows faster than reduceat does.
-                    for p, q, entry in zip(edges[:-1].tolist(), edges[1:].tolist(), f[edges[:-1]].tolist(), strict=True):
-                        into[entry] += ones[: q - p] @ rows[p:q]
+            for lo in range(0, len(t.classes), STEP):
+                z, total = products(factors, t.features, lo, lo + STEP)
+                z /= total[:, None]
+                sums.add([f[lo : lo + STEP] for f in t.features], z)
             for j, (node, _, features) in enumerate(t.levels):
-                for lo in range(0, len(node), SPAN):
-                    part = [f[lo : lo + SPAN] for f in features]
-                    digit_sums(digits[j], part, digit_chances(prior[j], digit_factors[j], node[lo : lo + SPAN], part))
-        yield _sent(np.concatenate([sums.ravel(), digits.ravel()]))
+                for lo in range(0, len(node), STEP):
+                    part = [f[lo : lo + STEP] for f in features]
+                    digits[j].add(part, digit_chances(prior[j], digit_factors[j], node[lo : lo + STEP], part))
+        yield _sent(np.concatenate([x.settled().ravel() for x in (sums, *digits)]))
 
     return run
 
@@ -343,7 +360,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.bincount(number, weights=seen).astype(np.int64)
         _, where = np.unique(number, return_index=True)
         at = np.concatenate(([0], ends + 1))
-        kind = leaves_of(classes_of(text, at), word_hashes(text, at))[where]
+        kind = leaves_of(classes_of(text, at[:-1], np.diff(at) - 1), word_hashes(text, at))[where]
         total[0] += np.bincount(kind, weights=count, minlength=CLASSES * LEAVES).astype(np.int64)
         total[1] += np.bincount(kind, weights=count > 0, minlength=CLASSES * LEAVES).astype(np.int64)
         out, at = [], 0
@@ -405,19 +422,19 @@ def _score(held, spread: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, factors, digit_factors = held.value
-        for b in blocks(batches):
+        for b in blocks(batches, limit=MODEL_BYTES):
             t = Tokens(b.column(2))
             each = np.empty(len(t.classes))
             for lo in range(0, len(each), STEP):
                 hi = min(lo + STEP, len(each))
                 z, total = products(factors, t.features, lo, hi)
-                each[lo:hi] = np.log10(z[np.arange(hi - lo), t.classes[lo:hi]].astype(np.float64) / total)
+                each[lo:hi] = z[np.arange(hi - lo), t.classes[lo:hi]].astype(np.float64) / total
             for j, (node, digit, features) in enumerate(t.levels):
-                for lo in range(0, len(node), SPAN):
-                    hi = min(lo + SPAN, len(node))
-                    z = digit_chances(prior[j], digit_factors[j], node[lo:hi], [f[lo:hi] for f in features])
-                    each[t.words[lo:hi]] += np.log10(z[np.arange(hi - lo), digit[lo:hi]].astype(np.float64))
-            each -= spread[t.leaves]
+                for lo in range(0, len(node), STEP):
+                    hi = min(lo + STEP, len(node))
+                    z, total = digit_products(prior[j], digit_factors[j], node[lo:hi], [f[lo:hi] for f in features])
+                    each[t.words[lo:hi]] *= z[np.arange(hi - lo), digit[lo:hi]].astype(np.float64) / total
+            each = np.log10(each) - spread[t.leaves]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.add.reduceat(each, t.first[:-1]))], names=["id", "key", "context"])
 
     return run
