@@ -67,10 +67,9 @@ SALTS = [mixed((np.arange(CLASSES * DIGITS**j) + (j + 1 << 32)).astype(np.uint64
 
 def classes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The class of each word of ``data``; never the last one, the end's."""
-    last = start + size - 1
-    code = data[last].astype(np.uint64)
-    for k in (1, 2):
-        code |= np.where(size > k, data[np.maximum(last - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    # Eight bytes that end with a word's last, which is the lowest of them as a big-endian number.
+    ends = np.ndarray(len(data) + 1, dtype=">u8", buffer=np.concatenate((np.zeros(8, dtype=np.uint8), data)), strides=(1,))
+    code = ends[start + size].astype(np.uint64) & np.array([0, 0xFF, 0xFFFF, 0xFFFFFF], dtype=np.uint64)[np.minimum(size, 3)]
     return (mixed(code) >> np.uint64(40)).astype(np.int64) % (CLASSES - 1)
 
 
@@ -101,8 +100,7 @@ class Tokens:
         self.features = [(mixed(x) >> np.uint64(64 - TABLE_BITS)).view(np.int64) for x in contexts]
         self.classes = np.full(len(doc), CLASSES - 1)
         self.classes[self.words] = classes_of(words.data, words.start, size)
-        self.leaves = self.classes * LEAVES
-        self.leaves[self.words] = own = leaves_of(self.classes[self.words], hashes)
+        self.own = own = leaves_of(self.classes[self.words], hashes)
         contexts = [x[self.words] for x in contexts]
         self.levels, node = [], own // LEAVES
         for j, salts in enumerate(SALTS):
@@ -110,6 +108,12 @@ class Tokens:
             self.levels.append((node, child - node * DIGITS, [(mixed(x ^ salt) >> np.uint64(64 - DIGIT_BITS)).view(np.int64) for x in contexts]))
             node = child
 
+    @property
+    def leaves(self) -> np.ndarray:
+        out = self.classes * LEAVES
+        out[self.words] = self.own
+        return out
+
 
 def factors_of(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Exponentials of the weights, so that a context's unnormalised chances are products
@@ -195,14 +199,21 @@ def _sent(sums: np.ndarray) -> pa.RecordBatch:
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of features with classes and with digits."""
-    sums, digits = np.zeros((TABLES, CLASSES << TABLE_BITS)), np.zeros((DEPTH, TABLES, DIGITS << DIGIT_BITS))
+    sums = [np.zeros(CLASSES << TABLE_BITS) for _ in range(TABLES)] + [np.zeros(DIGITS << DIGIT_BITS) for _ in range(DEPTH * TABLES)]
+    held: list[list[np.ndarray]] = []
+
+    def settle() -> None:
+        for into, keys in zip(sums, zip(*held, strict=True), strict=False):
+            into += np.bincount(np.concatenate(keys), minlength=len(into))
+        held.clear()
+
     for b in blocks(batches, limit=MODEL_BYTES):
         t = Tokens(b.column(0))
-        for k in range(TABLES):
-            np.add.at(sums[k], t.features[k] * CLASSES + t.classes, 1.0)
-            for j, (_, digit, features) in enumerate(t.levels):
-                np.add.at(digits[j, k], features[k] * DIGITS + digit, 1.0)
-    yield _sent(np.concatenate([sums.ravel(), digits.ravel()]))
+        held.append([f * CLASSES + t.classes for f in t.features] + [f * DIGITS + digit for _, digit, features in t.levels for f in features])
+        if sum(len(x[0]) for x in held) >= 4 * SPAN:
+            settle()
+    settle()
+    yield _sent(np.concatenate(sums))
 
 
 def _expect(held):
